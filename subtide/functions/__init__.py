@@ -1,6 +1,6 @@
 """Column-expression helpers shared by the operators."""
 
-from subtide.functions.draws import pick, u01
+from subtide.functions.draws import pick, u01, u01_sql
 from subtide.functions.exprs import (
     converted,
     days_between,
@@ -17,6 +17,7 @@ __all__ = [
     "ratio",
     "threshold_tag",
     "u01",
+    "u01_sql",
     "with_year_month",
     "zero_to_one",
 ]

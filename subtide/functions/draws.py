@@ -14,12 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def u01(key: str | Column, salt: str) -> Column:
-    """Uniform draw in [0, 1) from the first 32 bits of md5(key || salt)."""
-    key = F.col(key) if isinstance(key, str) else key
-    digest = F.md5(F.concat(key.cast("string"), F.lit(salt)).cast("binary"))
-    head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    return head / F.lit(float(2**32))
+def u01_sql(key: str, salt: str) -> str:
+    """SQL text of a uniform draw in [0, 1): the first 32 bits of md5(key || salt)."""
+    digest = f"md5(CAST(concat(CAST({key} AS STRING), '{salt}') AS BINARY))"
+    return f"(CAST(conv(substr({digest}, 1, 8), 16, 10) AS BIGINT) / 4294967296D)"
+
+
+def u01(key: str, salt: str) -> Column:
+    """Uniform draw in [0, 1) of a key column and a salt, see :func:`u01_sql`."""
+    return F.expr(u01_sql(key, salt))
 
 
 def pick(draw: Column, values: Sequence[str], weights: Sequence[float]) -> Column:
@@ -29,9 +32,7 @@ def pick(draw: Column, values: Sequence[str], weights: Sequence[float]) -> Colum
     edges = list(accumulate(weights))
     if abs(edges[-1] - 1.0) > 1e-9:
         raise ValueError(f"weights must sum to 1, got {edges[-1]}")
-    chosen = None
+    chosen = F
     for value, edge in zip(values[:-1], edges[:-1]):
-        below = draw < F.lit(edge)
-        chosen = (F if chosen is None else chosen).when(below, F.lit(value))
-    last = F.lit(values[-1])
-    return last if chosen is None else chosen.otherwise(last)
+        chosen = chosen.when(draw < edge, value)
+    return chosen.otherwise(values[-1]) if len(values) > 1 else F.lit(values[0])

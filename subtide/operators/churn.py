@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subtide.functions import days_between, pick, ratio, u01, with_year_month, zero_to_one
+from subtide.functions import days_between, pick, u01, with_year_month, zero_to_one
 from subtide.operators.abtest import MAIN_PLANS
 from subtide.operators.profile import drop_any_null, value_shares
 from subtide.operators.relational import keep_ids
@@ -122,7 +120,8 @@ def daily_engagement(
         F.min("date").alias("_from"), F.max("date").alias("_to"), *[F.sum(m).alias(m) for m in measures]
     )
     days = zero_to_one(days_between(F.col("_from"), F.col("_to")))
-    return sums.select("subid", *[ratio(F.col(m), days).alias(f"{m}_sum_daily") for m in measures])
+    daily = [f"try_divide({m}, _days) AS {m}_sum_daily" for m in measures]
+    return sums.withColumn("_days", days).selectExpr("subid", *daily)
 
 
 def engagement_features(engagement: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
@@ -134,24 +133,22 @@ def engagement_features(engagement: DataFrame, measures: Sequence[str] = MEASURE
     inner join with this frame also applies the membership test.
     """
     require(engagement, ENGAGEMENT)
-    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in engagement.columns])
-    in_trial = complete & (F.col("payment_period") == 0)
-    after = complete & (F.col("payment_period") != 0)
-    sums = engagement.groupBy("subid").agg(
-        F.min(F.when(after, F.col("date"))).alias("_from"),
-        F.max(F.when(after, F.col("date"))).alias("_to"),
-        *[F.sum(F.when(in_trial, F.col(m))).alias(f"{m}_trial") for m in measures],
-        *[F.sum(F.when(after, F.col(m))).alias(f"{m}_sum") for m in measures],
+    complete = " AND ".join(f"`{c}` IS NOT NULL" for c in engagement.columns)
+    in_trial, after = f"{complete} AND payment_period = 0", f"{complete} AND payment_period <> 0"
+    marked = engagement.selectExpr(
+        "subid", "date", *measures, f"{in_trial} AS _in_trial", f"{after} AS _after"
+    )
+    sums = marked.groupBy("subid").agg(
+        F.expr("min(date) FILTER (WHERE _after) AS _from"),
+        F.expr("max(date) FILTER (WHERE _after) AS _to"),
+        *[F.expr(f"sum({m}) FILTER (WHERE _in_trial) AS {m}_trial") for m in measures],
+        *[F.expr(f"sum({m}) FILTER (WHERE _after) AS {m}_sum") for m in measures],
     )
-    zero = F.lit(0.0)
     days = zero_to_one(days_between(F.col("_from"), F.col("_to")))
-    return sums.select(
+    return sums.withColumn("_days", days).selectExpr(
         "subid",
-        *[F.coalesce(F.col(f"{m}_trial"), zero).alias(f"{m}_trial") for m in measures],
-        *[
-            F.coalesce(ratio(F.col(f"{m}_sum"), days), zero).alias(f"{m}_sum_daily")
-            for m in measures
-        ],
+        *[f"coalesce({m}_trial, 0D) AS {m}_trial" for m in measures],
+        *[f"coalesce(try_divide({m}_sum, _days), 0D) AS {m}_sum_daily" for m in measures],
     )
 
 
@@ -179,8 +176,12 @@ def impute_categorical(
     The draw depends on the row's key only, see :func:`subtide.functions.u01`.
     """
     shares = observed_shares(df, column) if shares is None else shares
-    drawn = pick(u01(key, f"impute_{column}"), list(shares), list(shares.values()))
-    return df.withColumn(column, F.coalesce(F.col(column), drawn))
+    # The draw is a column of its own, made for unknown answers only, so that it
+    # is worked out once and not again in every branch of the choice.
+    unknown = F.when(F.col(column).isNull(), u01(key, f"impute_{column}"))
+    drawn = pick(F.col("_draw"), list(shares), list(shares.values()))
+    filled = df.withColumn("_draw", unknown).withColumn(column, F.coalesce(F.col(column), drawn))
+    return filled.drop("_draw")
 
 
 def churn_feature_table(

@@ -223,10 +223,11 @@ def grid_search(
         parallelism=parallelism,
     )
     fitted = validator.fit(data.train.withColumn("fold", fold))
-    best = max(fitted.avgMetrics)
+    scores = [float(value) for value in fitted.avgMetrics]
+    best = scores.index(max(scores))
     rows = [
-        (setting[estimator.maxDepth], setting[estimator.featureSubsetStrategy], value, value == best)
-        for setting, value in zip(grid, fitted.avgMetrics)
+        (setting[estimator.maxDepth], setting[estimator.featureSubsetStrategy], scores[i], i == best)
+        for i, setting in enumerate(grid)
     ]
     return data.train.sparkSession.createDataFrame(
         rows, "max_depth int, max_features string, accuracy double, is_best boolean"

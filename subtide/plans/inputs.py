@@ -13,16 +13,13 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subtide.functions import u01
+from subtide.functions import u01_sql
 from subtide.operators.abtest import BASE_PLAN, HIGH_PLAN, LOW_PLAN
 from subtide.sources import load_table
 
 
-def _case(column: str, values: dict[str, str], default: str) -> Column:
-    chosen = F
-    for key, value in values.items():
-        chosen = chosen.when(F.col(column) == key, value)
-    return chosen.otherwise(default)
+def _u01(salt: str) -> str:
+    return u01_sql("o_orderkey", salt)
 
 
 class Inputs:
@@ -43,108 +40,76 @@ class Inputs:
 
     @cached_property
     def subscribers(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        survey, genre, use = u01(key, "sv"), u01(key, "genre"), u01(key, "use")
-        return self._orders_with_customer.where(key % 6 != 0).select(
-            key.alias("subid"),
-            F.col("o_orderdate").cast("date").alias("account_creation_date"),
-            _case(
-                "o_orderpriority",
-                {"1-URGENT": HIGH_PLAN, "2-HIGH": LOW_PLAN, "5-LOW": "other_plan"},
-                BASE_PLAN,
-            ).alias("plan_type"),
-            (F.col("o_orderstatus") != "P").alias("cancel_before_trial_end"),
-            (u01(key, "refund") < 0.1).alias("refund_after_trial_tf"),
-            ((F.col("o_orderpriority") == "2-HIGH") | (key % 10 == 3)).alias("retarget_tf"),
-            _case(
-                "c_mktsegment",
-                {
-                    "AUTOMOBILE": "facebook",
-                    "BUILDING": "email",
-                    "FURNITURE": "search",
-                    "MACHINERY": "organic",
-                },
-                "affiliate",
-            ).alias("attribution_technical"),
-            F.when(survey < 0.01, None)
-            .when(survey < 0.2, "email")
-            .when(F.col("c_mktsegment") == "AUTOMOBILE", "facebook")
-            .when(F.col("c_mktsegment") == "FURNITURE", "search")
-            .otherwise("organic")
-            .alias("attribution_survey"),
-            F.when(key % 3 == 0, None)
-            .when(key % 3 == 1, "base")
-            .otherwise("enhanced")
-            .alias("package_type"),
-            F.when(genre < 0.15, None)
-            .when(genre < 0.7, "comedy")
-            .otherwise("drama")
-            .alias("preferred_genre"),
-            F.when(use < 0.1, None)
-            .when(use < 0.6, "replace OTT")
-            .otherwise("education")
-            .alias("intended_use"),
-            F.when(key % 40 == 1, None)
-            .when(F.col("c_nationkey") < 12, "iOS")
-            .otherwise("Android")
-            .alias("op_sys"),
-            F.when(u01(key, "pay") < 0.5, "CBD").otherwise("Standard Charter").alias("payment_type"),
-            (F.col("c_custkey") % 2 == 0).alias("male_tf"),
-            (F.col("o_totalprice") / 90000).alias("monthly_price"),
-            (F.col("o_totalprice") / 100000).alias("discount_price"),
-            F.when(key % 4 == 0, None)
-            .otherwise(F.abs("c_acctbal") / 10000)
-            .alias("join_fee"),
+        survey, genre, use = (_u01(salt) for salt in ("sv", "genre", "use"))
+        return self._orders_with_customer.where("o_orderkey % 6 <> 0").selectExpr(
+            "o_orderkey AS subid",
+            "CAST(o_orderdate AS DATE) AS account_creation_date",
+            f"CASE o_orderpriority WHEN '1-URGENT' THEN '{HIGH_PLAN}' WHEN '2-HIGH' THEN '{LOW_PLAN}' "
+            f"WHEN '5-LOW' THEN 'other_plan' ELSE '{BASE_PLAN}' END AS plan_type",
+            "o_orderstatus <> 'P' AS cancel_before_trial_end",
+            f"{_u01('refund')} < 0.1D AS refund_after_trial_tf",
+            "o_orderpriority = '2-HIGH' OR o_orderkey % 10 = 3 AS retarget_tf",
+            "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'facebook' WHEN 'BUILDING' THEN 'email' "
+            "WHEN 'FURNITURE' THEN 'search' WHEN 'MACHINERY' THEN 'organic' "
+            "ELSE 'affiliate' END AS attribution_technical",
+            f"CASE WHEN {survey} < 0.01D THEN NULL WHEN {survey} < 0.2D THEN 'email' "
+            "WHEN c_mktsegment = 'AUTOMOBILE' THEN 'facebook' "
+            "WHEN c_mktsegment = 'FURNITURE' THEN 'search' ELSE 'organic' END AS attribution_survey",
+            "CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'base' ELSE 'enhanced' END AS package_type",
+            f"CASE WHEN {genre} < 0.15D THEN NULL WHEN {genre} < 0.7D THEN 'comedy' "
+            "ELSE 'drama' END AS preferred_genre",
+            f"CASE WHEN {use} < 0.1D THEN NULL WHEN {use} < 0.6D THEN 'replace OTT' "
+            "ELSE 'education' END AS intended_use",
+            "CASE WHEN o_orderkey % 40 = 1 THEN NULL WHEN c_nationkey < 12 THEN 'iOS' "
+            "ELSE 'Android' END AS op_sys",
+            f"CASE WHEN {_u01('pay')} < 0.5D THEN 'CBD' ELSE 'Standard Charter' END AS payment_type",
+            "c_custkey % 2 = 0 AS male_tf",
+            "o_totalprice / 90000 AS monthly_price",
+            "o_totalprice / 100000 AS discount_price",
+            "CASE WHEN o_orderkey % 4 <> 0 THEN abs(c_acctbal) / 10000 END AS join_fee",
         )
 
     @cached_property
     def customer_service(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        renew = u01(key, "renew")
-        periods = F.array(F.lit(0), F.lit(1), F.lit(2))
-        return self._table("orders").where(key % 13 != 0).select(
-            key.alias("subid"),
-            F.col("o_orderdate").cast("date").alias("account_creation_date"),
-            F.explode(periods).alias("payment_period"),
-            F.when(renew < 0.25, None).otherwise(renew < 0.8).alias("renew"),
-            (u01(key, "cur") < 1 - F.col("o_totalprice") / 700000).alias("current_sub_tf"),
-            (u01(key, "done") < 0.9).alias("trial_completed_tf"),
-            F.when(key % 17 == 0, 0.0)
-            .otherwise(F.col("o_totalprice") / 100000)
-            .alias("revenue_net_1month"),
+        renew = _u01("renew")
+        return self._table("orders").where("o_orderkey % 13 <> 0").selectExpr(
+            "o_orderkey AS subid",
+            "CAST(o_orderdate AS DATE) AS account_creation_date",
+            "explode(array(0, 1, 2)) AS payment_period",
+            f"CASE WHEN {renew} < 0.25D THEN NULL ELSE {renew} < 0.8D END AS renew",
+            f"{_u01('cur')} < 1 - o_totalprice / 700000 AS current_sub_tf",
+            f"{_u01('done')} < 0.9D AS trial_completed_tf",
+            "CASE WHEN o_orderkey % 17 = 0 THEN 0D ELSE o_totalprice / 100000 END AS revenue_net_1month",
         )
 
     @cached_property
     def engagement(self) -> DataFrame:
-        price = F.col("l_extendedprice")
-        return self._table("lineitem").select(
-            F.col("l_orderkey").alias("subid"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            ((F.col("l_linenumber") - 1) % 3).cast("int").alias("payment_period"),
-            F.col("l_quantity").alias("app_opens"),
-            (F.col("l_partkey") % 4).cast("double").alias("cust_service_mssgs"),
-            F.when(F.col("l_partkey") % 50 == 0, None)
-            .otherwise(F.floor(price / 5000).cast("double"))
-            .alias("num_videos_completed"),
-            (F.floor(price / 4000).cast("double") + (F.col("l_suppkey") % 3).cast("double")).alias(
-                "num_videos_more_than_30_seconds"
-            ),
-            F.round(F.col("l_discount") * 100, 0).alias("num_videos_rated"),
-            F.round(F.col("l_tax") * 100, 0).alias("num_series_started"),
+        return self._table("lineitem").selectExpr(
+            "l_orderkey AS subid",
+            "CAST(l_shipdate AS DATE) AS date",
+            "(l_linenumber - 1) % 3 AS payment_period",
+            "l_quantity AS app_opens",
+            "CAST(l_partkey % 4 AS DOUBLE) AS cust_service_mssgs",
+            "CASE WHEN l_partkey % 50 <> 0 THEN CAST(floor(l_extendedprice / 5000) AS DOUBLE) END "
+            "AS num_videos_completed",
+            "CAST(floor(l_extendedprice / 4000) + l_suppkey % 3 AS DOUBLE) "
+            "AS num_videos_more_than_30_seconds",
+            "round(l_discount * 100, 0) AS num_videos_rated",
+            "round(l_tax * 100, 0) AS num_series_started",
         )
 
     @cached_property
     def ad_spend(self) -> DataFrame:
-        cents = F.round(F.col("o_totalprice") * 100, 0).cast("bigint")
-        segment, month = F.col("c_mktsegment"), F.month("o_orderdate")
+        cents = "CAST(round(o_totalprice * 100, 0) AS BIGINT)"
 
-        def spent(rows: Column) -> Column:
-            return F.sum(F.when(rows, cents)).cast("double") / 1000000
+        def spent(rows: str, channel: str) -> Column:
+            total = f"sum({cents}) FILTER (WHERE {rows})"
+            return F.expr(f"CAST({total} AS DOUBLE) / 1000000 AS {channel}")
 
         return self._orders_with_customer.groupBy(
-            F.year("o_orderdate").alias("year"), month.alias("month")
+            F.expr("year(o_orderdate) AS year"), F.expr("month(o_orderdate) AS month")
         ).agg(
-            spent(segment == "AUTOMOBILE").alias("facebook"),
-            spent(segment == "BUILDING").alias("email"),
-            spent((segment == "FURNITURE") & (month != 2)).alias("search"),
+            spent("c_mktsegment = 'AUTOMOBILE'", "facebook"),
+            spent("c_mktsegment = 'BUILDING'", "email"),
+            spent("c_mktsegment = 'FURNITURE' AND month(o_orderdate) <> 2", "search"),
         )
