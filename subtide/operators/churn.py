@@ -194,16 +194,19 @@ def churn_feature_table(
     """One modelling row for each paying-cohort row of a known, engaged subscriber.
 
     Subscribers must be in all three tables, be on one of ``plans`` and not have
-    been refunded after the trial. Each table is scanned once: filters sit in the
-    scans, engagement is folded to one row by subscriber before it is joined, and
-    all joins are on ``subid``, whose partitioning the aggregate already gives.
+    been refunded after the trial. Each table is scanned once, with its filters in
+    the scan. Engagement is folded to one row by subscriber and joined to the
+    profile first, on the partitioning that the fold left. The cohort, the only
+    side with several rows for a key, comes last: nothing relies on that join's
+    partitioning, so a key with very many rows can be split at run time.
     """
     require(subscribers, SUBSCRIBERS, ["subid", *PROFILE_COLUMNS])
     cohort = paying_cohort(cs, period=period).drop("renew", "revenue_net_1month")
     profile = subscribers.where(
         ~F.col("refund_after_trial_tf") & F.col("plan_type").isin(*plans)
     ).select("subid", *PROFILE_COLUMNS)
-    table = cohort.join(engagement_features(engagement), "subid").join(profile, "subid")
+    known = engagement_features(engagement).join(profile, "subid")
+    table = cohort.join(known, "subid")
     table = impute_categorical(table, "preferred_genre", GENRE_SHARES)
     table = impute_categorical(table, "intended_use", INTENDED_USE_SHARES)
     table = fill_constant(table, FILL_CONSTANTS)

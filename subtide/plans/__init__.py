@@ -1,6 +1,6 @@
 """Registered queries over the sample tables and their SQL oracles."""
 
-from subtide.plans.registry import ORACLES, QUERIES
+from subtide.plans.registry import BUILDERS, ORACLES, QUERIES
 from subtide.plans import (  # noqa: F401  (importing registers the queries)
     abtest_plans,
     channel_plans,
@@ -11,4 +11,4 @@ from subtide.plans import (  # noqa: F401  (importing registers the queries)
     revenue_plans,
 )
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["BUILDERS", "ORACLES", "QUERIES"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import u01_sql
 from subtide.operators.abtest import BASE_PLAN, HIGH_PLAN, LOW_PLAN
-from subtide.sources import load_table
+from subtide.sources import load_table, materialize
 
 
 def _u01(salt: str) -> str:
@@ -30,6 +30,13 @@ class Inputs:
         self.sf_dir = sf_dir
         self.run_id = uuid.uuid4().hex
 
+    def staged(self) -> Inputs:
+        """The same tables, written once to the shared folder and read from there."""
+        copy = Inputs(self.spark, self.sf_dir)
+        for name in ("subscribers", "customer_service", "engagement", "ad_spend"):
+            setattr(copy, name, materialize(getattr(self, name), name))
+        return copy
+
     def _table(self, name: str) -> DataFrame:
         return load_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 

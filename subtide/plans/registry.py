@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from subtide.plans.inputs import Inputs
 from subtide.plans.oracle import with_inputs
 
+BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,6 +29,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return build(Inputs(spark, sf_dir))
 
+        BUILDERS[name] = build
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_inputs(sql)
