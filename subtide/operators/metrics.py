@@ -149,6 +149,8 @@ def _cumulative_counts(
         F.max_by(F.struct("score", "pos", "neg"), "score").alias("top"),
     )
     totals = {r["bucket"]: r for r in rows.collect()}
+    if None in totals:
+        raise ValueError(f"null scores in {score!r}")
     # Down from the highest range: counts above each range. Up from the lowest:
     # the highest score below each range, which its last row needs to look ahead.
     size = len(cuts) + 1
