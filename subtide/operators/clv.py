@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import ratio
 from subtide.operators.relational import lookup_join
+from subtide.sources import materialize
 
 # Channels that cost nothing, spelled as in the data.
 ORGANIC_CHANNELS = (
@@ -39,12 +40,14 @@ def subscriber_cac(
     """CAC of each subscriber by sign-up month and channel; unknown join fees are 0.
 
     Organic channels cost 0. Other channels without a CAC get ``default_cac``, or
-    the mean CAC of the channel table if that is ``None``. The channel table is
-    joined by :func:`subtide.operators.relational.lookup_join`, which leaves the
-    subscribers unshuffled.
+    the mean CAC of the channel table if that is ``None``. The channel table, a row
+    for each month and channel, is written once and then joined by
+    :func:`subtide.operators.relational.lookup_join`, which leaves the subscribers
+    unshuffled.
     """
+    lookup = materialize(channel_table.select("year", "month", "attribution", "cac"), "cac")
     if default_cac is None:
-        fallback = mean_cac(channel_table).scalar()
+        fallback = mean_cac(lookup).scalar()
     else:
         fallback = F.lit(float(default_cac))
     rows = features.select(
@@ -56,7 +59,6 @@ def subscriber_cac(
         "discount_price",
         F.coalesce(F.col("join_fee"), F.lit(0.0)).alias("join_fee"),
     )
-    lookup = channel_table.select("year", "month", "attribution", "cac")
     joined = lookup_join(rows, lookup, ["year", "month", "attribution"], spread_by="subid")
     filled = F.when(F.col("attribution").isin(*organic), 0.0).otherwise(
         F.coalesce(F.col("cac"), fallback)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import u01
 from subtide.operators.encode import dummy_encode, feature_columns, train_test_split
-from subtide.operators.metrics import accuracy, confusion_matrix, r2
+from subtide.operators.metrics import confusion_matrix, r2
 from subtide.sources import materialize
 
 _IO = {"featuresCol": "features", "labelCol": "churn"}
@@ -32,8 +32,12 @@ _TWO_CLASSES = {"ml_attr": {"name": "churn", "type": "nominal", "vals": ["0", "1
 
 @dataclass(frozen=True)
 class ModelData:
-    """Training and test rows (subid, churn, features) and the feature names."""
+    """The stored modelling table, its training and test rows, the feature names.
 
+    The rows are (subid, churn, features).
+    """
+
+    table: DataFrame
     train: DataFrame
     test: DataFrame
     features: list[str]
@@ -52,7 +56,7 @@ def prepare(features: DataFrame) -> ModelData:
     label = F.col("churn").cast("double").alias("churn", metadata=_TWO_CLASSES)
     rows = vectors.select("subid", label, "features")
     train, test = train_test_split(rows)
-    return ModelData(train, test, names)
+    return ModelData(saved, train, test, names)
 
 
 def _subset(features: int, available: int) -> str:
@@ -163,15 +167,18 @@ def score_linear(model: Model, rows: DataFrame) -> DataFrame:
 
 
 def fit_report(model: Model, data: ModelData) -> DataFrame:
-    """Accuracy and confusion counts on the training and on the test rows."""
+    """Accuracy, F1 of class 1 and confusion counts on the training and the test rows."""
     parts = []
     for split, rows in (("train", data.train), ("test", data.test)):
-        scored = score(model, rows)
-        right = F.avg((F.col("y_actual") == F.col("y_label")).cast("double"))
-        counts = confusion_matrix(scored)
-        total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-        share = F.try_divide((F.col("tn") + F.col("tp")).cast("double"), total)
-        parts.append(counts.select(F.lit(split).alias("split"), share.alias("accuracy"), *counts.columns))
+        counts = confusion_matrix(score(model, rows))
+        parts.append(
+            counts.selectExpr(
+                f"'{split}' AS split",
+                "try_divide(CAST(tn + tp AS DOUBLE), tn + fp + fn + tp) AS accuracy",
+                "coalesce(try_divide(2D * tp, 2 * tp + fp + fn), 0D) AS f1",
+                *counts.columns,
+            )
+        )
     return parts[0].unionByName(parts[1])
 
 

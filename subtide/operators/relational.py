@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.sources import materialize
-
 # A lookup table above this many rows is joined through a shuffle instead of
 # being broadcast. At a few fixed-width columns this is some tens of megabytes.
 LOOKUP_MAX_ROWS = 200_000
@@ -40,17 +38,16 @@ def lookup_join(
     max_rows: int = LOOKUP_MAX_ROWS,
     salts: int = LOOKUP_SALTS,
 ) -> DataFrame:
-    """Left join of a big table to a lookup table that is expected to be small.
-
-    The lookup is written once and its rows counted (Parquet footers only). Up
-    to ``max_rows`` it is broadcast, so the big side is not shuffled. Beyond, the
-    big side is shuffled with every key split ``salts`` ways by a hash of
-    ``spread_by`` and the lookup repeated for each split, so that one key with a
-    large share of the rows is spread over many tasks. Both ways give the same
-    rows.
+    """Left join of a big table to a stored lookup table that is expected to be small.
+
+    The lookup's rows are counted first, so it should be a table that was read or
+    written, see :func:`subtide.sources.materialize`. Up to ``max_rows`` it is
+    broadcast and the big side is not shuffled. Beyond, the big side is shuffled
+    with every key split ``salts`` ways by a hash of ``spread_by`` and the lookup
+    repeated for each split, so that one key with a large share of the rows is
+    spread over many tasks. Both ways give the same rows.
     """
     keys = list(on)
-    lookup = materialize(lookup, "lookup")
     if lookup.count() <= max_rows:
         return left.join(F.broadcast(lookup), keys, "left")
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,17 +96,35 @@ def tree_threshold_report(t: Inputs) -> DataFrame:
     return metrics.classification_report(metrics.threshold_predict(scored(t), 0.55))
 
 
-@query("model_auc")
-def model_auc(t: Inputs) -> DataFrame:
-    """Curve area and hard-label area of the four classifiers on the test rows."""
+CLASSIFIERS = ("tree", "logistic", "forest", "gbt")
+
+
+def _for_each_classifier(t: Inputs, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of the four classifiers on the test rows, marked by ``model``."""
     data = models.prepare(features(t))
-    rows = None
-    for kind in ("tree", "logistic", "forest", "gbt"):
+    results = []
+    for kind in CLASSIFIERS:
         predicted = models.score(models.fit(data, kind), data.test)
-        row = metrics.auc_hard_label(predicted).select(
-            F.lit(kind).alias("model"),
-            F.col("auc").alias("auc_hard_label"),
-            metrics.auc_score(predicted).scalar().alias("auc_score"),
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+        results.append(evaluate(predicted).withColumn("model", F.lit(kind)))
+    return reduce(DataFrame.unionByName, results)
+
+
+@query("model_auc")
+def model_auc(t: Inputs) -> DataFrame:
+    """Area of the score's curve and of the hard label's."""
+
+    def areas(predicted: DataFrame) -> DataFrame:
+        hard = metrics.auc_hard_label(predicted).withColumnRenamed("auc", "auc_hard_label")
+        return hard.withColumn("auc_score", metrics.auc_score(predicted).scalar())
+
+    return _for_each_classifier(t, areas)
+
+
+@query("model_roc")
+def model_roc(t: Inputs) -> DataFrame:
+    return _for_each_classifier(t, metrics.roc_curve)
+
+
+@query("model_reports")
+def model_reports(t: Inputs) -> DataFrame:
+    return _for_each_classifier(t, metrics.classification_report)

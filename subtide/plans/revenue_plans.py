@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.operators import clv, scenario
+from subtide.operators import clv, models, scenario
 from subtide.operators.scenario import THRESHOLDS
 from subtide.plans.channel_plans import technical_cac
 from subtide.plans.churn_plans import features
 from subtide.plans.inputs import Inputs
 from subtide.plans.metric_plans import fixed_score
-from subtide.plans.model_plans import scored
 from subtide.plans.oracle import u01
 from subtide.plans.registry import query
 
@@ -128,5 +127,14 @@ def clv_without_cac(t: Inputs) -> DataFrame:
 @query("clv_of_tree_score")
 def clv_of_tree_score(t: Inputs) -> DataFrame:
     """The whole chain on the fitted tree: score, acquisition cost, lifetime value."""
-    rows = scored(t).select("subid", "y_actual", "y_pred")
-    return clv.clv(rows, clv.subscriber_cac(features(t), technical_cac(t)))
+    data = models.prepare(features(t))
+    scored = models.score(models.fit(data, "tree"), data.test).drop("y_label")
+    return clv.clv(scored, clv.subscriber_cac(data.table, technical_cac(t)))
+
+
+@query("offers_of_tree_score")
+def offers_of_tree_score(t: Inputs) -> DataFrame:
+    """Offer scenarios over the fitted tree's scores."""
+    data = models.prepare(features(t))
+    scored = models.score(models.fit(data, "tree"), data.test)
+    return scenario.offer_scenario_wide(scored)

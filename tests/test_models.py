@@ -46,7 +46,7 @@ def test_tree(spark, data):
     scored = _check_scores(model, data)
     report = {r.split: r for r in models.fit_report(model, data).collect()}
     assert report["test"].accuracy == pytest.approx(metrics.accuracy(scored).first()[0])
-    assert sum(report["train"][2:]) == data.train.count()
+    assert sum(report["train"][3:]) == data.train.count()
     weights = models.importances(spark, model, data.features)
     assert weights.count() == len(data.features)
     assert weights.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)

@@ -5,14 +5,15 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from subtide.operators import channel, churn, relational
+from subtide.operators import channel, churn, relational, scenario
 from subtide.plans import BUILDERS
 from subtide.plans.churn_plans import features
 
 MODEL_QUERIES = {
     "fit_tree", "fit_forest", "fit_gbt", "fit_logistic", "fit_ols", "grid_tree", "grid_forest",
     "tree_importances", "forest_importances", "logistic_coefficients", "scored_test", "tree_roc",
-    "tree_threshold_report", "model_auc", "clv_of_tree_score",
+    "tree_threshold_report", "model_auc", "model_roc", "model_reports", "clv_of_tree_score",
+    "offers_of_tree_score",
 }
 
 
@@ -73,8 +74,6 @@ def test_dedup_folds_before_the_shuffle(inputs):
 
 def test_scenarios_do_not_shuffle(inputs):
     scored = inputs.subscribers.selectExpr("subid", "1 AS y_actual", "discount_price AS y_pred")
-    from subtide.operators import scenario
-
     for df in (scenario.offer_scenario(scored), scenario.offer_scenario_wide(scored)):
         assert "Exchange" not in plan(df)
 
