@@ -9,6 +9,7 @@ from subtide.operators import churn, encode, relational
 from subtide.operators.churn import MEASURES, PROFILE_COLUMNS
 from subtide.plans.inputs import Inputs
 from subtide.plans.registry import query
+from subtide.sources import materialize
 
 FEATURE_COLUMNS = [
     "subid",
@@ -27,6 +28,11 @@ def features(t: Inputs) -> DataFrame:
     return churn.churn_feature_table(t.subscribers, t.customer_service, t.engagement)
 
 
+def stored_features(t: Inputs) -> DataFrame:
+    """The modelling table written once, for queries that read it more than once."""
+    return materialize(features(t), "features")
+
+
 @query(
     "churn_label",
     "SELECT subid, payment_period, CASE WHEN renew = false THEN 1 WHEN current_sub_tf = false THEN 1 "
@@ -120,7 +126,7 @@ _DUMMIES = {
     + " FROM features",
 )
 def dummy_encode(t: Inputs) -> DataFrame:
-    rows = features(t).select("subid", "churn", *encode.CATEGORICAL)
+    rows = stored_features(t).select("subid", "churn", *encode.CATEGORICAL)
     return encode.dummy_encode(rows)
 
 

@@ -14,16 +14,16 @@ from subtide.plans.registry import query
 THRESHOLD = 0.55
 
 
-def fixed_score(t: Inputs) -> DataFrame:
+def fixed_score(table: DataFrame) -> DataFrame:
     """Test rows with a score in [0, 1] that has ties and leans towards the label."""
-    _, test = encode.train_test_split(features(t))
+    _, test = encode.train_test_split(table)
     lift = F.lit(0.4) * F.col("churn") * u01("subid", "lift")
     score = F.round(u01("subid", "score") * 0.6 + lift, 3)
     return test.select("subid", F.col("churn").alias("y_actual"), score.alias("y_pred"))
 
 
 def labelled(t: Inputs) -> DataFrame:
-    return metrics.threshold_predict(fixed_score(t), THRESHOLD)
+    return metrics.threshold_predict(fixed_score(features(t)), THRESHOLD)
 
 
 _F1 = "coalesce(2.0 * {h} / nullif(2 * {h} + fp + fn, 0), 0)"
@@ -57,7 +57,7 @@ def accuracy(t: Inputs) -> DataFrame:
     "FROM scored, (SELECT avg(y_actual) AS m FROM scored)",
 )
 def r2(t: Inputs) -> DataFrame:
-    return metrics.r2(fixed_score(t)).select(F.round("r2", 8).alias("r2"))
+    return metrics.r2(fixed_score(features(t))).select(F.round("r2", 8).alias("r2"))
 
 
 @query("confusion_matrix", "SELECT tn, fp, fn, tp FROM matrix")
@@ -103,7 +103,7 @@ _ORIGIN = "SELECT max(score) + 1 AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0
     f"UNION ALL {_ORIGIN}",
 )
 def roc_curve(t: Inputs) -> DataFrame:
-    return metrics.roc_curve(fixed_score(t))
+    return metrics.roc_curve(fixed_score(features(t)))
 
 
 @query(
@@ -113,7 +113,7 @@ def roc_curve(t: Inputs) -> DataFrame:
     f"OR score = (SELECT max(score) FROM score_groups) UNION ALL {_ORIGIN}",
 )
 def roc_curve_corners(t: Inputs) -> DataFrame:
-    return metrics.roc_curve(fixed_score(t), drop_intermediate=True)
+    return metrics.roc_curve(fixed_score(features(t)), drop_intermediate=True)
 
 
 @query(
@@ -122,7 +122,7 @@ def roc_curve_corners(t: Inputs) -> DataFrame:
     "FROM score_running, class_totals",
 )
 def auc_score(t: Inputs) -> DataFrame:
-    return metrics.auc_score(fixed_score(t))
+    return metrics.auc_score(fixed_score(features(t)))
 
 
 @query(

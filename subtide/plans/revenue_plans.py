@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from subtide.operators import clv, models, scenario
 from subtide.operators.scenario import THRESHOLDS
 from subtide.plans.channel_plans import technical_cac
-from subtide.plans.churn_plans import features
+from subtide.plans.churn_plans import features, stored_features
 from subtide.plans.inputs import Inputs
 from subtide.plans.metric_plans import fixed_score
 from subtide.plans.oracle import u01
@@ -65,27 +65,27 @@ def _counts_sql(key: str) -> str:
     ),
 )
 def offer_scenario_long(t: Inputs) -> DataFrame:
-    return scenario.offer_scenario(fixed_score(t))
+    return scenario.offer_scenario(fixed_score(features(t)))
 
 
 @query("offer_scenario_wide", _wide_sql())
 def offer_scenario_wide(t: Inputs) -> DataFrame:
-    return scenario.offer_scenario_wide(fixed_score(t))
+    return scenario.offer_scenario_wide(fixed_score(features(t)))
 
 
 @query("offer_plan_counts", _counts_sql("plan_0_3"))
 def offer_plan_counts(t: Inputs) -> DataFrame:
-    return scenario.plan_counts(scenario.offer_scenario_wide(fixed_score(t)), 0.3)
+    return scenario.plan_counts(scenario.offer_scenario_wide(fixed_score(features(t))), 0.3)
 
 
 @query("offer_plan_counts_70", _counts_sql("plan_0_7"))
 def offer_plan_counts_70(t: Inputs) -> DataFrame:
-    return scenario.plan_counts(scenario.offer_scenario_wide(fixed_score(t)), 0.7)
+    return scenario.plan_counts(scenario.offer_scenario_wide(fixed_score(features(t))), 0.7)
 
 
 @query("offer_actual_counts", _counts_sql("y_actual"))
 def offer_actual_counts(t: Inputs) -> DataFrame:
-    return scenario.actual_counts(scenario.offer_scenario_wide(fixed_score(t)))
+    return scenario.actual_counts(scenario.offer_scenario_wide(fixed_score(features(t))))
 
 
 @query("subscriber_cac", "SELECT * FROM sub_cac")
@@ -113,15 +113,20 @@ _CLV = (
 )
 
 
+def _fixed_score_clv(t: Inputs, with_cac: bool) -> DataFrame:
+    table = stored_features(t)
+    costs = clv.subscriber_cac(table, technical_cac(t))
+    return clv.clv(fixed_score(table), costs, with_cac=with_cac)
+
+
 @query("clv_with_cac", _CLV.format(less="- c.cac_filled", name="clv_with_cac"))
 def clv_with_cac(t: Inputs) -> DataFrame:
-    return clv.clv(fixed_score(t), clv.subscriber_cac(features(t), technical_cac(t)))
+    return _fixed_score_clv(t, with_cac=True)
 
 
 @query("clv_without_cac", _CLV.format(less="", name="clv_without_cac"))
 def clv_without_cac(t: Inputs) -> DataFrame:
-    costs = clv.subscriber_cac(features(t), technical_cac(t))
-    return clv.clv(fixed_score(t), costs, with_cac=False)
+    return _fixed_score_clv(t, with_cac=False)
 
 
 @query("clv_of_tree_score")
