@@ -66,11 +66,11 @@ def arm_counts(population: DataFrame) -> DataFrame:
 def _tally(population: DataFrame, arms: Mapping[str, Arm]) -> DataFrame:
     """One row with ``<arm>_users`` and ``<arm>_converted`` for all arms, in one pass."""
     plans = sorted({arm.plan for arm in arms.values()})
-    counts = []
+    paying, counts = converted(), []
     for name, arm in arms.items():
         member = arm.predicate()
         counts.append(F.count_if(member).alias(f"{name}_users"))
-        counts.append(F.count_if(member & converted()).alias(f"{name}_converted"))
+        counts.append(F.count_if(member & paying).alias(f"{name}_converted"))
     return population.where(F.col("plan_type").isin(*plans)).agg(*counts)
 
 

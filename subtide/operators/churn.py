@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from subtide.functions import days_between, pick, u01, with_year_month, zero_to_one
 from subtide.operators.abtest import MAIN_PLANS
 from subtide.operators.profile import drop_any_null, value_shares
-from subtide.operators.relational import keep_ids
+from subtide.operators.relational import join_splitting_hot_keys, keep_ids
 from subtide.sources import CUSTOMER_SERVICE, ENGAGEMENT, SUBSCRIBERS, require
 
 # The engagement measures.
@@ -105,8 +105,8 @@ def trial_engagement(
     """Sums of each measure over a subscriber's complete trial rows, ``<measure>_trial``."""
     require(engagement, ENGAGEMENT)
     rows = drop_any_null(engagement).where(F.col("payment_period") == 0)
-    rows = rows if ids is None else keep_ids(rows, ids)
-    return rows.groupBy("subid").agg(*[F.sum(m).alias(f"{m}_trial") for m in measures])
+    sums = rows.groupBy("subid").agg(*[F.sum(m).alias(f"{m}_trial") for m in measures])
+    return sums if ids is None else sums.join(ids.select("subid"), "subid", "left_semi")
 
 
 def daily_engagement(
@@ -115,13 +115,13 @@ def daily_engagement(
     """Sums after the trial for each day between first and last use, ``<measure>_sum_daily``."""
     require(engagement, ENGAGEMENT)
     rows = drop_any_null(engagement).where(F.col("payment_period") != 0)
-    rows = rows if ids is None else keep_ids(rows, ids)
     sums = rows.groupBy("subid").agg(
         F.min("date").alias("_from"), F.max("date").alias("_to"), *[F.sum(m).alias(m) for m in measures]
     )
     days = zero_to_one(days_between(F.col("_from"), F.col("_to")))
     daily = [f"try_divide({m}, _days) AS {m}_sum_daily" for m in measures]
-    return sums.withColumn("_days", days).selectExpr("subid", *daily)
+    features = sums.withColumn("_days", days).selectExpr("subid", *daily)
+    return features if ids is None else features.join(ids.select("subid"), "subid", "left_semi")
 
 
 def engagement_features(engagement: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
@@ -197,8 +197,7 @@ def churn_feature_table(
     been refunded after the trial. Each table is scanned once, with its filters in
     the scan. Engagement is folded to one row by subscriber and joined to the
     profile first, on the partitioning that the fold left. The cohort, the only
-    side with several rows for a key, comes last: nothing relies on that join's
-    partitioning, so a key with very many rows can be split at run time.
+    side that may have many rows for a key, comes last, with hot keys apart.
     """
     require(subscribers, SUBSCRIBERS, ["subid", *PROFILE_COLUMNS])
     cohort = paying_cohort(cs, period=period).drop("renew", "revenue_net_1month")
@@ -206,7 +205,7 @@ def churn_feature_table(
         ~F.col("refund_after_trial_tf") & F.col("plan_type").isin(*plans)
     ).select("subid", *PROFILE_COLUMNS)
     known = engagement_features(engagement).join(profile, "subid")
-    table = cohort.join(known, "subid")
+    table = join_splitting_hot_keys(cohort, known, "subid")
     table = impute_categorical(table, "preferred_genre", GENRE_SHARES)
     table = impute_categorical(table, "intended_use", INTENDED_USE_SHARES)
     table = fill_constant(table, FILL_CONSTANTS)

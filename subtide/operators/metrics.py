@@ -14,6 +14,8 @@ from subtide.functions import ratio
 from subtide.sources import materialize
 
 CELLS = ("tn", "fp", "fn", "tp")
+# Score ranges of a running sum; the driver holds one row for each.
+MAX_RANGES = 1000
 
 
 def threshold_predict(
@@ -131,7 +133,8 @@ def _cumulative_counts(
     them.
     """
     spark = scored.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffle_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(shuffle_partitions, MAX_RANGES)
     counts = materialize(score_counts(scored, actual, score), "scores")
     quantiles = [i / buckets for i in range(1, buckets)]
     found = counts.approxQuantile("score", quantiles, 1 / (4 * buckets)) if quantiles else []

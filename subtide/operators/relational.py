@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subtide.sources import materialize
+
 # A lookup table above this many rows is joined through a shuffle instead of
 # being broadcast. At a few fixed-width columns this is some tens of megabytes.
 LOOKUP_MAX_ROWS = 200_000
+# A key with at least this share of the rows, and this many, is joined apart.
+HOT_SHARE = 0.01
+HOT_MIN_ROWS = 1_000_000
 # How many ways each key of the shuffled lookup join is split.
 LOOKUP_SALTS = 64
 
@@ -55,9 +61,58 @@ def lookup_join(
     return left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str = "subid") -> DataFrame:
+def hot_keys(
+    df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
+) -> list:
+    """Keys that hold at least ``share`` of the rows and ``min_rows`` of them.
+
+    One pass with a bounded sketch, whose counts are estimates: at most 1 / share
+    keys come back. Which keys are found only decides how a join runs.
+    """
+    most = math.ceil(1 / share)
+    top, total = df.agg(
+        F.expr(f"approx_top_k({key}, {most}, {10 * most})"), F.count("*")
+    ).first()
+    least = max(share * total, min_rows)
+    return [r["item"] for r in top if r["item"] is not None and r["count"] >= least]
+
+
+def join_splitting_hot_keys(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    share: float = HOT_SHARE,
+    min_rows: int = HOT_MIN_ROWS,
+) -> DataFrame:
+    """Inner, left or left-semi join of rows to a table with about one row for each key.
+
+    The rows of keys that hold a large share of ``left`` are not shuffled, as each
+    such key would fill a single task: they stay where they are and meet the few
+    right rows of those keys by broadcast, once those have been counted. All other
+    rows are joined as usual, and so is everything if no key is hot.
+    """
+    hot = hot_keys(left, key, share, min_rows)
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = right.where(is_hot)
+    few = materialize(few.select(key).distinct() if how == "left_semi" else few, "hot")
+    if few.count() > LOOKUP_MAX_ROWS:
+        return left.join(right, key, how)
+    apart = left.where(is_hot).join(F.broadcast(few), key, how)
+    return left.where(~is_hot).join(right, key, how).unionByName(apart)
+
+
+def keep_ids(
+    df: DataFrame,
+    ids: DataFrame,
+    key: str = "subid",
+    share: float = HOT_SHARE,
+    min_rows: int = HOT_MIN_ROWS,
+) -> DataFrame:
     """Rows whose key is in ``ids`` (left-semi join; no id list on the driver)."""
-    return df.join(ids.select(key), key, "left_semi")
+    return join_splitting_hot_keys(df, ids.select(key), key, "left_semi", share, min_rows)
 
 
 def id_intersection(*frames: DataFrame, key: str = "subid") -> DataFrame:

@@ -8,6 +8,7 @@ with the price. :mod:`subtide.plans.oracle` states the same derivation in SQL.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,12 @@ class Inputs:
 
     def staged(self) -> Inputs:
         """The same tables, written once to the shared folder and read from there."""
+        names = ("subscribers", "customer_service", "engagement", "ad_spend")
         copy = Inputs(self.spark, self.sf_dir)
-        for name in ("subscribers", "customer_service", "engagement", "ad_spend"):
-            setattr(copy, name, materialize(getattr(self, name), name))
+        with ThreadPoolExecutor(len(names)) as pool:  # four independent jobs
+            stored = pool.map(materialize, [getattr(self, n) for n in names], names)
+        for name, table in zip(names, stored):
+            setattr(copy, name, table)
         return copy
 
     def _table(self, name: str) -> DataFrame:
@@ -79,15 +83,25 @@ class Inputs:
     @cached_property
     def customer_service(self) -> DataFrame:
         renew = _u01("renew")
-        return self._table("orders").where("o_orderkey % 13 <> 0").selectExpr(
+        orders = self._table("orders").where("o_orderkey % 13 <> 0")
+        # The draws are made once for an order, before it becomes three rows.
+        flags = orders.selectExpr(
             "o_orderkey AS subid",
             "CAST(o_orderdate AS DATE) AS account_creation_date",
-            "explode(array(0, 1, 2)) AS payment_period",
             f"CASE WHEN {renew} < 0.25D THEN NULL ELSE {renew} < 0.8D END AS renew",
             f"{_u01('cur')} < 1 - o_totalprice / 700000 AS current_sub_tf",
             f"{_u01('done')} < 0.9D AS trial_completed_tf",
             "CASE WHEN o_orderkey % 17 = 0 THEN 0D ELSE o_totalprice / 100000 END AS revenue_net_1month",
         )
+        return flags.selectExpr(
+            "subid",
+            "account_creation_date",
+            "explode(array(0, 1, 2)) AS payment_period",
+            "renew",
+            "current_sub_tf",
+            "trial_completed_tf",
+            "revenue_net_1month",
+        )
 
     @cached_property
     def engagement(self) -> DataFrame:

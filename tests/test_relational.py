@@ -75,6 +75,38 @@ def test_lookup_join_both_ways(spark, max_rows):
     ]
 
 
+@pytest.fixture
+def skewed(spark):
+    """A third of the rows on one key, some without a key."""
+    return spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 100 <> 1 THEN id END AS subid", "id AS row"
+    )
+
+
+def test_hot_keys(skewed):
+    assert relational.hot_keys(skewed, "subid", min_rows=10) == [7]
+    assert relational.hot_keys(skewed, "subid") == []
+    assert relational.hot_keys(skewed.limit(0), "subid", min_rows=1) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("known", ["subid IN (7, 10, 11, 5000)", "subid <> 7"])
+def test_hot_keys_are_joined_apart_with_the_same_rows(spark, skewed, how, known):
+    right = spark.range(6000).selectExpr("id AS subid", "id * 2 AS twice").where(known)
+    apart = relational.join_splitting_hot_keys(skewed, right, "subid", how, min_rows=10)
+    plain = relational.join_splitting_hot_keys(skewed, right, "subid", how)
+    assert "Union" in apart._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert apart.columns == plain.columns
+    assert rows(apart) == rows(plain) == rows(skewed.join(right, "subid", how))
+
+
+def test_keep_ids_of_a_hot_key(skewed):
+    ids = skewed.where("subid = 7 OR subid > 2990")  # the id side holds copies, too
+    kept = relational.keep_ids(skewed, ids, min_rows=10)
+    assert rows(kept) == rows(skewed.where("subid = 7 OR subid > 2990"))
+
+
 def test_unpivot_drops_nulls(spark):
     wide = spark.createDataFrame([(2020, 2, 1.0, None)], "year int, month int, a double, b double")
     assert rows(relational.unpivot_channels(wide)) == [(2020, 2, "a", 1.0)]
