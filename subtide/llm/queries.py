@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from subtide.llm import mixing, packing, pii, quality, sharding, simhash
+from subtide.llm import chat, kneser_ney, mixing, packing, pii, quality, sharding, simhash
 from subtide.llm.common import documents
 
+_ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[build.__name__] = build
-    return build
+    """Registers a query; Python workers find this library wherever the driver was started."""
+
+    @wraps(build)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+        return build(spark, sf_dir)
+
+    QUERIES[build.__name__] = run
+    return run
 
 
 @query
@@ -42,6 +52,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    both = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], given.schema)
+    return chat.read_back(chat.format_conversations(given.union(added)))
+
+
+@query
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return kneser_ney.score(docs, kneser_ney.train(docs))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
