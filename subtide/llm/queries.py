@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from subtide.llm import chat, kneser_ney, mixing, packing, pii, quality, sharding, simhash
+from subtide.llm import chat, kneser_ney, mixing, nn_descent, packing, pii, quality, sharding, simhash
 from subtide.llm.common import documents
 
+NEAREST = 20
 _ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = nn_descent.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    index = nn_descent.build(given, members=NEAREST + 1)
+    return nn_descent.search(index, given.filter("vec_id % 20 = 0"), NEAREST)
+
+
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
