@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from subtide.llm import chat, kneser_ney, mixing, nn_descent, packing, pii, quality, sharding, simhash, suffix_dedup
 from subtide.llm.common import documents
+from subtide.llm.oracles import ORACLES  # noqa: F401  (part of the registry)
 
 NEAREST = 20
 _ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
