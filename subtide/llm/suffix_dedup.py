@@ -46,6 +46,8 @@ LENGTH = 50
 GRAM = 16
 STRIDE = 2
 SHARD = 2048  # strings
+SLICE = 2000  # documents
+PARTS = 3  # for each shuffle partition, so that a part's arrays stay small
 # No byte of UTF-8 is above 244, so two of them and the end fit 16 bits.
 BASE = 246
 _LAST = np.iinfo(np.int64).max
@@ -115,6 +117,12 @@ def _load(folder: str, name: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(t.as_py() or "").encode() for t in batch.column("text")]
 
@@ -123,7 +131,7 @@ def _find_anchors(docs: DataFrame, folder: str, parts: int) -> None:
     """Writes, by part, the sorted hashes of anchors that two documents have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             own = [np.unique(_stretches(t)[0]) for t in _texts(batch)]
             if not own:
                 continue
@@ -189,11 +197,11 @@ def transform(strings: list[bytes]) -> np.ndarray:
     rows = np.repeat(starts, lengths + 2) + ragged_arange(lengths + 2)
     place = np.full(len(padded) + 256, len(rows), np.int64)
     place[rows] = np.arange(len(rows))
-    # Rank by 1, 2, 4, ... symbols; empty suffixes are told apart by their number.
+    # Rank by 3, 6, 12, ... symbols; empty suffixes are told apart by their number.
     empty = np.flatnonzero(symbols[rows] == 0)
-    key = symbols[rows] << 24
+    key = symbols[rows] << 32 | symbols[rows + STRIDE] << 16 | symbols[rows + 2 * STRIDE]
     key[empty] = np.arange(len(empty))
-    reach = STRIDE
+    reach = 3 * STRIDE
     rank = np.unique(key, return_inverse=True)[1]
     longest = int(lengths.max()) + 2 if len(lengths) else 0
     while reach < longest:
@@ -229,11 +237,15 @@ def merge(transforms: list[np.ndarray], strings: list[int], rounds: int = LENGTH
     for _ in range(rounds):
         before = symbols[merged]
         order = np.argsort(before, kind="stable")[len(empty) :]
-        sorted_, blocks = before[order], block[order]
-        begins = np.ones(len(order), bool)
-        begins[1:] = (sorted_[1:] != sorted_[:-1]) | (blocks[1:] != blocks[:-1])
-        merged = np.concatenate([empty, back[merged[order]]])
-        block = np.concatenate([np.arange(len(empty), dtype=np.int32), np.cumsum(begins, dtype=np.int32) + np.int32(len(empty))])
+        rows, blocks = merged[order], block[order]
+        # A block begins where the symbol before or the block behind changes.
+        symbol = before[order]
+        begins = (symbol[1:] != symbol[:-1]) | (blocks[1:] != blocks[:-1])
+        merged[len(empty) :] = back[rows]
+        merged[: len(empty)] = empty
+        np.cumsum(begins, out=block[len(empty) + 1 :])
+        block[len(empty) + 1 :] += len(empty)
+        block[: len(empty) + 1] = np.arange(len(empty) + 1)[: len(block)]
     interval = np.empty(len(symbols), np.int32)
     interval[merged] = block
     return interval, back
@@ -273,7 +285,7 @@ def _merge_parts(docs: DataFrame, folder: str, parts: int) -> None:
     """Writes, by part, each stretch's hash and its runs of windows with their smallest document."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             texts, doc, hashes, first, count = _repeated(batch, folder, parts)
             ids = _ids(batch)
             for p, mine in _by_part(_part(hashes, parts), parts):
@@ -369,13 +381,13 @@ def _folder(spark: SparkSession) -> str:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, the maximal removed runs (``starts``, ``ends``) and the bytes ``kept``."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = _folder(spark)
     _find_anchors(docs, folder, parts)
     _merge_parts(docs, folder, parts)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             texts, doc, hashes, first, count = _repeated(batch, folder, parts)
             strings = [texts[d][a : a + n + LENGTH - 1] for d, a, n in zip(doc.tolist(), first.tolist(), count.tolist())]
             stretch, begin, end = _removed_windows(folder, parts, strings, hashes, count, _ids(batch)[doc])
