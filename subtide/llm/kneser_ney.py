@@ -45,7 +45,9 @@ from subtide.sources import materialize, shared_folder
 
 # White space cannot be in a word.
 END = xxh64_intdigest(b"\n")
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
+SLICE = 1000  # documents
+MOST_WORDS = 1_000_000  # that a task numbers before it starts anew
 LARGE = 255
 FOLDS, HELD_OUT = 5, 1
 
@@ -235,11 +237,34 @@ def _words(docs: DataFrame, folder: str, parts: int) -> Model:
     return Model(folder, parts, offsets, sum(r.tokens for r in rows.values()), sum(sizes))
 
 
-def _pairs_of(model: Model, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The texts' tokens by number in this batch, and the id of each number."""
-    words = Words()
-    held = [words.read(t) for t in texts]
-    return held, model.ids(np.array(words.hashes, np.uint64))
+class Known:
+    """Texts as word ids; a task looks each word up once."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.words, self.ids = Words(), model.ids(np.array([END], np.uint64))
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all tokens, text after text, and how many each text has."""
+        if len(self.words) > MOST_WORDS:
+            self.__init__(self.model)
+        held = [self.words.read(t) for t in texts]
+        new = np.array(self.words.hashes[len(self.ids) :], np.uint64)
+        self.ids = np.concatenate([self.ids, self.model.ids(new)])
+        return self.ids[np.concatenate(held)], np.array([len(t) for t in held])
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _before(ids: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """The id before each token; a text's first one follows ``start``."""
+    before = np.concatenate([[start], ids[:-1]])
+    before[np.cumsum(lengths) - lengths] = start
+    return before
 
 
 def _discounts(n: np.ndarray) -> tuple[float, ...]:
@@ -275,14 +300,12 @@ def train(docs: DataFrame) -> Model:
             split = ((p, [(k >> np.uint64(32)).astype("<u4"), k.astype("<u4"), c.astype("<u4")]) for p, (k, c) in parted)
             yield from _rows(split, ["first", "second", "counts"])
 
-        for batch in batches:
-            texts, ids = _pairs_of(model, batch.column("text").to_pylist())
-            ids = ids.astype(np.uint64)
-            for text in texts:
-                known = ids[text]
-                before = np.concatenate([known[-1:], known[:-1]])
-                held.append(before << np.uint64(32) | known)
-                n += len(known)
+        known = Known(model)
+        for batch in _sliced(batches):
+            ids, lengths = known.read(batch.column("text").to_pylist())
+            before = _before(ids, lengths, known.ids[0]).astype(np.uint64)
+            held.append(before << np.uint64(32) | ids.astype(np.uint64))
+            n += len(ids)
             if n >= FLUSH_TOKENS:
                 yield from flush()
                 held, n = [], 0
@@ -362,19 +385,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """For each text: tokens, known ones, the unigram baseline and the model's log10 probability."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, known = _pairs_of(model, batch.column("text").to_pylist())
-            if not texts:
-                continue
-            lengths = np.array([len(t) for t in texts])
+        known = Known(model)
+        for batch in _sliced(batches):
+            ids, lengths = known.read(batch.column("text").to_pylist())
             first = np.cumsum(lengths) - lengths
-            ids = known[np.concatenate(texts)]
-            before = np.concatenate([[0], ids[:-1]])
-            before[first] = known[0]
-            seen = model.by_word("tokens", known)[np.concatenate(texts)]
+            before = _before(ids, lengths, known.ids[0])
+            n = batch.num_rows
+            words, back = np.unique(ids, return_inverse=True)
+            seen = model.by_word("tokens", words)[back]
             base = np.log10((seen + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
             log = np.log10(probabilities(model, before, ids))
-            n = len(texts)
             columns = [
                 pa.array(lengths, pa.int64()),
                 pa.array(np.add.reduceat((ids >= 0).astype(np.int64), first)),
