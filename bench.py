@@ -22,6 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from subtide.plans import BUILDERS  # noqa: E402
 from subtide.plans.inputs import Inputs  # noqa: E402
+from subtide.sources import release_all  # noqa: E402
 
 HEADLINE = [
     "pearson_pairs",
@@ -44,6 +45,8 @@ HEADLINE = [
     "clv_with_cac",
     "fit_tree",
     "fit_logistic",
+    "fit_forest",
+    "fit_gbt",
 ]
 
 
@@ -84,6 +87,7 @@ def main() -> None:
     for name in names:
         run = partial(run_query, BUILDERS[name], inputs)
         _, seconds[name] = faster_of_two(run)
+    release_all(spark)
     spark.stop()
     result = {
         "metric": "headline_total",

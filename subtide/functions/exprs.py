@@ -33,5 +33,5 @@ def with_year_month(df: DataFrame, date_col: str) -> DataFrame:
 
 
 def threshold_tag(threshold: float) -> str:
-    """Column-name suffix of a threshold: 0.5 -> ``0_5``."""
-    return f"{threshold:g}".replace(".", "_")
+    """Column-name suffix of a threshold, all digits kept: 0.5 -> ``0_5``."""
+    return repr(float(threshold)).removesuffix(".0").replace(".", "_")

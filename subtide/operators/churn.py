@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from subtide.functions import days_between, pick, u01, with_year_month, zero_to_one
 from subtide.operators.abtest import MAIN_PLANS
-from subtide.operators.profile import drop_any_null, value_shares
+from subtide.operators.profile import drop_any_null, nan_to_null, quoted, value_shares
 from subtide.operators.relational import join_splitting_hot_keys, keep_ids
 from subtide.sources import CUSTOMER_SERVICE, ENGAGEMENT, SUBSCRIBERS, require
 
@@ -55,8 +55,6 @@ PROFILE_COLUMNS = (
     "join_fee",
     "refund_after_trial_tf",
 )
-# An answer with more different values than this is not a category.
-MAX_CATEGORIES = 200
 
 
 def churn_label() -> Column:
@@ -105,7 +103,7 @@ def trial_engagement(
     """Sums of each measure over a subscriber's complete trial rows, ``<measure>_trial``."""
     require(engagement, ENGAGEMENT)
     rows = drop_any_null(engagement).where(F.col("payment_period") == 0)
-    sums = rows.groupBy("subid").agg(*[F.sum(m).alias(f"{m}_trial") for m in measures])
+    sums = rows.groupBy("subid").agg(*[F.sum(quoted(m)).alias(f"{m}_trial") for m in measures])
     return sums if ids is None else sums.join(ids.select("subid"), "subid", "left_semi")
 
 
@@ -116,10 +114,10 @@ def daily_engagement(
     require(engagement, ENGAGEMENT)
     rows = drop_any_null(engagement).where(F.col("payment_period") != 0)
     sums = rows.groupBy("subid").agg(
-        F.min("date").alias("_from"), F.max("date").alias("_to"), *[F.sum(m).alias(m) for m in measures]
+        F.min("date").alias("_from"), F.max("date").alias("_to"), *[F.sum(quoted(m)).alias(m) for m in measures]
     )
     days = zero_to_one(days_between(F.col("_from"), F.col("_to")))
-    daily = [f"try_divide({m}, _days) AS {m}_sum_daily" for m in measures]
+    daily = [f"try_divide({quoted(m)}, _days) AS {quoted(m + '_sum_daily')}" for m in measures]
     features = sums.withColumn("_days", days).selectExpr("subid", *daily)
     return features if ids is None else features.join(ids.select("subid"), "subid", "left_semi")
 
@@ -133,22 +131,26 @@ def engagement_features(engagement: DataFrame, measures: Sequence[str] = MEASURE
     inner join with this frame also applies the membership test.
     """
     require(engagement, ENGAGEMENT)
-    complete = " AND ".join(f"`{c}` IS NOT NULL" for c in engagement.columns)
+    engagement = nan_to_null(engagement)
+    complete = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in engagement.columns)
     in_trial, after = f"{complete} AND payment_period = 0", f"{complete} AND payment_period <> 0"
     marked = engagement.selectExpr(
-        "subid", "date", *measures, f"{in_trial} AS _in_trial", f"{after} AS _after"
+        "subid", "date", *map(quoted, measures), f"{in_trial} AS _in_trial", f"{after} AS _after"
     )
     sums = marked.groupBy("subid").agg(
         F.expr("min(date) FILTER (WHERE _after) AS _from"),
         F.expr("max(date) FILTER (WHERE _after) AS _to"),
-        *[F.expr(f"sum({m}) FILTER (WHERE _in_trial) AS {m}_trial") for m in measures],
-        *[F.expr(f"sum({m}) FILTER (WHERE _after) AS {m}_sum") for m in measures],
+        *[F.expr(f"sum({quoted(m)}) FILTER (WHERE _in_trial) AS {quoted(m + '_trial')}") for m in measures],
+        *[F.expr(f"sum({quoted(m)}) FILTER (WHERE _after) AS {quoted(m + '_sum')}") for m in measures],
     )
     days = zero_to_one(days_between(F.col("_from"), F.col("_to")))
     return sums.withColumn("_days", days).selectExpr(
         "subid",
-        *[f"coalesce({m}_trial, 0D) AS {m}_trial" for m in measures],
-        *[f"coalesce(try_divide({m}_sum, _days), 0D) AS {m}_sum_daily" for m in measures],
+        *[f"coalesce({quoted(m + '_trial')}, 0D) AS {quoted(m + '_trial')}" for m in measures],
+        *[
+            f"coalesce(try_divide({quoted(m + '_sum')}, _days), 0D) AS {quoted(m + '_sum_daily')}"
+            for m in measures
+        ],
     )
 
 
@@ -157,12 +159,9 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.na.fill(dict(values))
 
 
-def observed_shares(df: DataFrame, column: str, cap: int = MAX_CATEGORIES) -> dict[str, float]:
-    """Shares of a category column as plan-time values; raises above ``cap`` categories."""
-    rows = value_shares(df, column).limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"{column!r} has more than {cap} categories")
-    return dict(sorted((r[column], r["share"]) for r in rows))
+def observed_shares(df: DataFrame, column: str) -> dict[str, float]:
+    """Shares of a category column as plan-time values, one for each branch of the choice."""
+    return dict(sorted((r[column], r["share"]) for r in value_shares(df, column).collect()))
 
 
 def impute_categorical(
@@ -194,8 +193,8 @@ def churn_feature_table(
     """One modelling row for each paying-cohort row of a known, engaged subscriber.
 
     Subscribers must be in all three tables, be on one of ``plans`` and not have
-    been refunded after the trial. Each table is scanned once, with its filters in
-    the scan. Engagement is folded to one row by subscriber and joined to the
+    been refunded after the trial. A sketch of the cohort's keys comes first, in a job
+    of its own; filters reach the scans. Engagement is folded to one row by subscriber and joined to the
     profile first, on the partitioning that the fold left. The cohort, the only
     side that may have many rows for a key, comes last, with hot keys apart.
     """

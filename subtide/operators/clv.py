@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subtide.functions import ratio
+from subtide.operators.profile import nan_to_null
 from subtide.operators.relational import lookup_join
 from subtide.sources import materialize
 
@@ -31,52 +32,65 @@ def mean_cac(channel_table: DataFrame) -> DataFrame:
     return channel_table.agg(F.avg("cac").alias("mean_cac"))
 
 
-def subscriber_cac(
-    features: DataFrame,
+# Columns of a modelling row that its acquisition cost and lifetime value need.
+COST_COLUMNS = (
+    "month",
+    "year",
+    "attribution_technical",
+    "monthly_price",
+    "discount_price",
+    "join_fee",
+)
+
+
+def with_costs(
+    rows: DataFrame,
     channel_table: DataFrame,
     default_cac: float | None = DEFAULT_CAC,
     organic: Sequence[str] = ORGANIC_CHANNELS,
+    key: str = "subid",
 ) -> DataFrame:
-    """CAC of each subscriber by sign-up month and channel; unknown join fees are 0.
+    """CAC of each row by sign-up month and channel; unknown join fees are 0.
 
-    Organic channels cost 0. Other channels without a CAC get ``default_cac``, or
-    the mean CAC of the channel table if that is ``None``. The channel table, a row
-    for each month and channel, is written once and then joined by
-    :func:`subtide.operators.relational.lookup_join`, which leaves the subscribers
-    unshuffled.
+    ``rows`` have the :data:`COST_COLUMNS`; other columns stay. Organic channels cost
+    0. Other channels without a CAC get ``default_cac``, or the mean CAC of the
+    channel table if that is ``None``. The channel table, a row for each month and
+    channel, is written once and then joined by
+    :func:`subtide.operators.relational.lookup_join`.
     """
     lookup = materialize(channel_table.select("year", "month", "attribution", "cac"), "cac")
-    if default_cac is None:
-        fallback = mean_cac(lookup).scalar()
-    else:
-        fallback = F.lit(float(default_cac))
-    rows = features.select(
-        "subid",
-        "month",
-        "year",
-        F.col("attribution_technical").alias("attribution"),
-        "monthly_price",
-        "discount_price",
-        F.coalesce(F.col("join_fee"), F.lit(0.0)).alias("join_fee"),
-    )
-    joined = lookup_join(rows, lookup, ["year", "month", "attribution"], spread_by="subid")
+    fallback = mean_cac(lookup).scalar() if default_cac is None else F.lit(float(default_cac))
+    known = nan_to_null(rows).withColumnRenamed("attribution_technical", "attribution")
+    known = known.withColumn("join_fee", F.coalesce("join_fee", F.lit(0.0)))
+    joined = lookup_join(known, lookup, ["year", "month", "attribution"], spread_by=key)
     filled = F.when(F.col("attribution").isin(*organic), 0.0).otherwise(
         F.coalesce(F.col("cac"), fallback)
     )
-    return joined.select(*rows.columns, "cac", filled.alias("cac_filled"))
+    return joined.select(*known.columns, "cac", filled.alias("cac_filled"))
+
+
+def subscriber_cac(
+    features: DataFrame,
+    channel_table: DataFrame,
+    default_cac: float | None = DEFAULT_CAC,
+    organic: Sequence[str] = ORGANIC_CHANNELS,
+) -> DataFrame:
+    """:func:`with_costs` of the modelling table, without its other columns."""
+    return with_costs(features.select("subid", *COST_COLUMNS), channel_table, default_cac, organic)
 
 
 def clv(
-    scored: DataFrame,
-    costs: DataFrame,
+    costed: DataFrame,
     discount_rate: float = DISCOUNT_RATE,
     periods: int = PERIOD_MONTHS,
     with_cac: bool = True,
 ) -> DataFrame:
-    """Lifetime value of each scored subscriber: future, first period, join fee, less CAC.
+    """Lifetime value of each scored row: future, first period, join fee, less CAC.
 
-    The future is the period price times (1 + d) / ((1 + d) - (1 - p)), where p is
-    the predicted probability to churn.
+    ``costed`` is what :func:`with_costs` makes of scored rows that carry the cost
+    columns, so a row's score and costs never part and nothing is joined here. The
+    future is the period price times (1 + d) / ((1 + d) - (1 - p)), where p is the
+    predicted probability to churn.
     """
     price = F.col("discount_price") * periods
     growth = F.lit(1 + discount_rate)
@@ -85,4 +99,4 @@ def clv(
     name = "clv_with_cac" if with_cac else "clv_without_cac"
     if with_cac:
         value = value - F.col("cac_filled")
-    return scored.join(costs, "subid", "left").withColumn(name, value)
+    return costed.withColumn(name, value)

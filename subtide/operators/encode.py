@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +34,6 @@ CATEGORICAL = (
     "plan_type",
     "payment_type",
 )
-# More levels than this would not make sensible dummy columns.
-MAX_LEVELS = 100
 
 
 def feature_columns(df: DataFrame, excluded: Sequence[str] = NOT_FEATURES) -> list[str]:
@@ -43,12 +41,10 @@ def feature_columns(df: DataFrame, excluded: Sequence[str] = NOT_FEATURES) -> li
     return [c for c in df.columns if c not in excluded]
 
 
-def category_levels(
-    df: DataFrame, columns: Sequence[str], cap: int = MAX_LEVELS
-) -> dict[str, list[str]]:
+def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted non-null levels of text or flag columns, found in one pass.
 
-    At most ``cap`` levels for each column are read; more raise.
+    As many are read as the encoded table has columns.
     """
     for c in columns:
         if not isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType)):
@@ -60,17 +56,26 @@ def category_levels(
         ]
     )
     seen = df.select(F.inline(cells)).where(F.col("level").isNotNull()).distinct()
-    rows = seen.limit(cap * len(columns) + 1).collect()
-    levels = {c: sorted(r["level"] for r in rows if r["column"] == c) for c in columns}
-    too_many = [c for c, found in levels.items() if len(found) > cap]
-    if too_many or len(rows) > cap * len(columns):
-        raise ValueError(f"more than {cap} levels in {too_many or list(columns)}")
-    return levels
+    rows = seen.collect()
+    return {c: sorted(r["level"] for r in rows if r["column"] == c) for c in columns}
 
 
 def dummy_name(column: str, level: str) -> str:
-    """Column name of a level, in lower snake case."""
-    return f"{column}_{re.sub(r'[^0-9a-z]+', '_', level.lower()).strip('_')}"
+    """Column name of a level, in lower snake case; letters of all scripts stay."""
+    return f"{column}_{re.sub(r'[\W_]+', '_', level.lower()).strip('_')}"
+
+
+def dummy_names(column: str, levels: Sequence[str], taken: Collection[str] = ()) -> dict[str, str]:
+    """The column names of levels; where two would meet, a level's place in the order is added."""
+    plain = [dummy_name(column, level) for level in levels]
+    names: dict[str, str] = {}
+    for i, (level, name) in enumerate(zip(levels, plain)):
+        unique = plain.count(name) == 1 and name not in taken
+        while not unique:
+            name += f"_{i}"
+            unique = name not in taken and name not in plain and name not in names.values()
+        names[level] = name
+    return names
 
 
 def dummy_encode(
@@ -86,10 +91,9 @@ def dummy_encode(
     levels = category_levels(df, columns) if levels is None else levels
     dummies = {}
     for c in columns:
+        names = dummy_names(c, levels[c], {*dummies, *df.columns})
         for level in levels[c][1:]:
-            name = dummy_name(c, level)
-            if name in dummies or name in df.columns:
-                raise ValueError(f"dummy column {name!r} is not unique")
+            name = names[level]
             is_level = F.col(c).cast("string") == F.lit(level)
             dummies[name] = F.when(is_level, 1).otherwise(0)
     kept = [c for c in df.columns if c not in columns]

@@ -6,6 +6,9 @@ All inputs hold an actual label in ``y_actual`` and a score in ``y_pred`` (or a
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +17,8 @@ from subtide.functions import ratio
 from subtide.sources import materialize
 
 CELLS = ("tn", "fp", "fn", "tp")
-# Score ranges of a running sum; the driver holds one row for each.
-MAX_RANGES = 1000
+# Distinct scores in a range of a running sum; the driver holds one row for each range.
+SCORES_PER_RANGE = 1_000_000
 
 
 def threshold_predict(
@@ -25,12 +28,23 @@ def threshold_predict(
     return scored.withColumn(output, (F.col(score) >= F.lit(threshold)).cast("int"))
 
 
+def _labelled(rows: DataFrame, *labels: str) -> DataFrame:
+    """The rows; one with an unknown label raises when it is read."""
+    for c in labels:
+        message = F.lit(f"unknown labels in {c!r}")
+        rows = rows.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(message)).otherwise(F.col(c)))
+    return rows
+
+
 def confusion_matrix(
-    predicted: DataFrame, actual: str = "y_actual", label: str = "y_label"
+    predicted: DataFrame,
+    actual: str = "y_actual",
+    label: str = "y_label",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Counts tn, fp, fn, tp, as one row."""
+    """Counts tn, fp, fn, tp, as one row, or one for each group ``by``. An unknown label raises."""
     cells = [(0, 0), (0, 1), (1, 0), (1, 1)]
-    return predicted.agg(
+    return _labelled(predicted, actual, label).groupBy(*by).agg(
         *[
             F.count_if((F.col(actual) == a) & (F.col(label) == p)).alias(name)
             for name, (a, p) in zip(CELLS, cells)
@@ -53,7 +67,7 @@ def _f1(hits: Column, misses: Column) -> Column:
 def accuracy(predicted: DataFrame, actual: str = "y_actual", label: str = "y_label") -> DataFrame:
     """Share of right predictions, as one row."""
     right = (F.col(actual) == F.col(label)).cast("double")
-    return predicted.agg(F.avg(right).alias("accuracy"))
+    return _labelled(predicted, actual, label).agg(F.avg(right).alias("accuracy"))
 
 
 def f1_binary(predicted: DataFrame, actual: str = "y_actual", label: str = "y_label") -> DataFrame:
@@ -62,11 +76,13 @@ def f1_binary(predicted: DataFrame, actual: str = "y_actual", label: str = "y_la
     return confusion_matrix(predicted, actual, label).select(_f1(tp, fp + fn).alias("f1"))
 
 
-def r2(scored: DataFrame, actual: str = "y_actual", score: str = "y_pred") -> DataFrame:
-    """Coefficient of determination, as one row; null for a constant label."""
+def r2(
+    scored: DataFrame, actual: str = "y_actual", score: str = "y_pred", by: Sequence[str] = ()
+) -> DataFrame:
+    """Coefficient of determination, as one row (or one for each group); null for a constant label."""
     gap = F.col(actual) - F.col(score)
     error = ratio(F.avg(gap * gap), F.var_pop(actual))
-    return scored.agg((1 - error).alias("r2"))
+    return _labelled(scored, actual, score).groupBy(*by).agg((1 - error).alias("r2"))
 
 
 def classification_report(
@@ -134,8 +150,8 @@ def _cumulative_counts(
     """
     spark = scored.sparkSession
     shuffle_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or min(shuffle_partitions, MAX_RANGES)
-    counts = materialize(score_counts(scored, actual, score), "scores")
+    counts = materialize(score_counts(_labelled(scored, actual), actual, score), "scores")
+    buckets = buckets or max(shuffle_partitions, math.ceil(counts.count() / SCORES_PER_RANGE))
     quantiles = [i / buckets for i in range(1, buckets)]
     found = counts.approxQuantile("score", quantiles, 1 / (4 * buckets)) if quantiles else []
     cuts = sorted(set(found)) or [0.0]

@@ -16,12 +16,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subtide.functions import u01
-from subtide.operators.encode import dummy_encode, feature_columns, train_test_split
-from subtide.operators.metrics import confusion_matrix, r2
+from subtide.operators.clv import COST_COLUMNS
+from subtide.operators.encode import dummy_encode, feature_columns, with_split
+from subtide.operators.metrics import CELLS, confusion_matrix, r2
 from subtide.sources import materialize
 
 _IO = {"featuresCol": "features", "labelCol": "churn"}
@@ -32,31 +33,39 @@ _TWO_CLASSES = {"ml_attr": {"name": "churn", "type": "nominal", "vals": ["0", "1
 
 @dataclass(frozen=True)
 class ModelData:
-    """The stored modelling table, its training and test rows, the feature names.
+    """The stored modelling table, its stored rows by split, the feature names.
 
-    The rows are (subid, churn, features).
+    The rows are (subid, churn, features, cost columns, is_train).
     """
 
     table: DataFrame
-    train: DataFrame
-    test: DataFrame
+    rows: DataFrame
     features: list[str]
 
+    @property
+    def train(self) -> DataFrame:
+        return self.rows.where("is_train").drop("is_train")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.rows.where("NOT is_train").drop("is_train")
+
 
 def prepare(features: DataFrame) -> ModelData:
     """Encode, assemble and split a modelling table.
 
-    The table is written once first: every fit makes many passes over it, and
-    none of them should run the joins behind it again.
+    The table is written once, as its levels are looked up before it is encoded, and
+    so are the assembled rows, in one folder for each split: every fit makes many
+    passes over them, and none should draw the split or build the vectors again.
     """
     saved = materialize(features, "features")
     encoded = dummy_encode(saved)
     names = feature_columns(encoded)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(encoded)
-    label = F.col("churn").cast("double").alias("churn", metadata=_TWO_CLASSES)
-    rows = vectors.select("subid", label, "features")
-    train, test = train_test_split(rows)
-    return ModelData(saved, train, test, names)
+    label = F.col("churn").cast("double").alias("churn")
+    kept = with_split(vectors).select("subid", label, "features", *COST_COLUMNS, "is_train")
+    rows = materialize(kept, "model-rows", ["is_train"])
+    return ModelData(saved, rows.withMetadata("churn", _TWO_CLASSES), names)
 
 
 def _subset(features: int, available: int) -> str:
@@ -144,23 +153,26 @@ def fit(data: ModelData, kind: str) -> Model:
     return estimator.fit(data.train)
 
 
-def score(model: Model, rows: DataFrame) -> DataFrame:
+def score(model: Model, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Predicted probability of churn by subscriber: (subid, y_actual, y_pred, y_label).
 
-    The key travels with the row through the model; nothing is matched by position.
+    The key, and the columns to ``carry``, travel with the row through the model;
+    nothing is matched by position.
     """
     return model.transform(rows).select(
         "subid",
+        *carry,
         F.col("churn").cast("int").alias("y_actual"),
         vector_to_array("probability")[1].alias("y_pred"),
         F.col("prediction").cast("int").alias("y_label"),
     )
 
 
-def score_linear(model: Model, rows: DataFrame) -> DataFrame:
+def score_linear(model: Model, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Fitted value by subscriber: (subid, y_actual, y_pred)."""
     return model.transform(rows).select(
         "subid",
+        *carry,
         F.col("churn").cast("int").alias("y_actual"),
         F.col("prediction").alias("y_pred"),
     )
@@ -168,27 +180,19 @@ def score_linear(model: Model, rows: DataFrame) -> DataFrame:
 
 def fit_report(model: Model, data: ModelData) -> DataFrame:
     """Accuracy, F1 of class 1 and confusion counts on the training and the test rows."""
-    parts = []
-    for split, rows in (("train", data.train), ("test", data.test)):
-        counts = confusion_matrix(score(model, rows))
-        parts.append(
-            counts.selectExpr(
-                f"'{split}' AS split",
-                "try_divide(CAST(tn + tp AS DOUBLE), tn + fp + fn + tp) AS accuracy",
-                "coalesce(try_divide(2D * tp, 2 * tp + fp + fn), 0D) AS f1",
-                *counts.columns,
-            )
-        )
-    return parts[0].unionByName(parts[1])
+    counts = confusion_matrix(score(model, data.rows, ["is_train"]), by=["is_train"])
+    return counts.selectExpr(
+        "if(is_train, 'train', 'test') AS split",
+        "try_divide(CAST(tn + tp AS DOUBLE), tn + fp + fn + tp) AS accuracy",
+        "coalesce(try_divide(2D * tp, 2 * tp + fp + fn), 0D) AS f1",
+        *CELLS,
+    )
 
 
 def linear_report(model: Model, data: ModelData) -> DataFrame:
     """R² on the training and on the test rows."""
-    parts = [
-        r2(score_linear(model, rows)).select(F.lit(split).alias("split"), "r2")
-        for split, rows in (("train", data.train), ("test", data.test))
-    ]
-    return parts[0].unionByName(parts[1])
+    fitted = score_linear(model, data.rows, ["is_train"])
+    return r2(fitted, by=["is_train"]).selectExpr("if(is_train, 'train', 'test') AS split", "r2")
 
 
 def importances(spark: SparkSession, model: Model, names: Sequence[str]) -> DataFrame:
@@ -203,6 +207,24 @@ def coefficients(spark: SparkSession, model: Model, names: Sequence[str]) -> Dat
     return spark.createDataFrame(list(zip(names, values)), "feature string, coefficient double")
 
 
+@dataclass(frozen=True)
+class GridResult:
+    """``table`` (max_depth, max_features, accuracy, is_best) and the fitted best ``model``."""
+
+    table: DataFrame
+    model: Model
+
+
+def with_folds(rows: DataFrame, folds: int, key: str = "subid", slices: int = 64) -> DataFrame:
+    """Add ``fold``, dealt in turn to the keys of each label, in order of a draw from the key.
+
+    A label's keys are numbered in ``slices`` tasks, so folds differ by at most that
+    many keys. Rows of one key and label share a fold.
+    """
+    order = Window.partitionBy("churn", F.pmod(F.xxhash64(key), F.lit(slices))).orderBy(u01(key, "fold"), key)
+    return rows.withColumn("fold", F.pmod(F.dense_rank().over(order), F.lit(folds)).cast("int"))
+
+
 def grid_search(
     data: ModelData,
     estimator: RandomForestClassifier,
@@ -211,11 +233,12 @@ def grid_search(
     folds: int = 10,
     parallelism: int = 16,
     key: str = "subid",
-) -> DataFrame:
-    """Cross-validated accuracy of each (max_depth, max_features) and the best one.
+) -> GridResult:
+    """Cross-validated accuracy of each (max_depth, max_features), and the best setting's model.
 
-    A row's fold is drawn from its key. The folds are cached by the validator,
-    and ``parallelism`` settings are fitted at a time.
+    Folds are stratified by label. They are cached by the validator, and
+    ``parallelism`` settings are fitted at a time. The best setting is fitted on
+    all training rows.
     """
     width = len(data.features)
     grid = (
@@ -224,7 +247,6 @@ def grid_search(
         .addGrid(estimator.featureSubsetStrategy, [_subset(f, width) for f in features])
         .build()
     )
-    fold = F.floor(u01(key, "fold") * folds).cast("int")
     validator = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid,
@@ -233,19 +255,20 @@ def grid_search(
         foldCol="fold",
         parallelism=parallelism,
     )
-    fitted = validator.fit(data.train.withColumn("fold", fold))
+    fitted = validator.fit(with_folds(data.train, folds, key))
     scores = [float(value) for value in fitted.avgMetrics]
     best = scores.index(max(scores))
     rows = [
         (setting[estimator.maxDepth], setting[estimator.featureSubsetStrategy], scores[i], i == best)
         for i, setting in enumerate(grid)
     ]
-    return data.train.sparkSession.createDataFrame(
+    table = data.table.sparkSession.createDataFrame(
         rows, "max_depth int, max_features string, accuracy double, is_best boolean"
     )
+    return GridResult(table, fitted.bestModel)
 
 
-def grid_tree(data: ModelData, folds: int = 10, parallelism: int = 16) -> DataFrame:
+def grid_tree(data: ModelData, folds: int = 10, parallelism: int = 16) -> GridResult:
     """Depth 2-6 by 6, 8, 10, 12 features of a Gini tree with 30 rows in a leaf."""
     tree = RandomForestClassifier(
         **_IO, numTrees=1, bootstrap=False, minInstancesPerNode=30, seed=0
@@ -253,7 +276,7 @@ def grid_tree(data: ModelData, folds: int = 10, parallelism: int = 16) -> DataFr
     return grid_search(data, tree, range(2, 7), (6, 8, 10, 12), folds, parallelism)
 
 
-def grid_forest(data: ModelData, folds: int = 10, parallelism: int = 16) -> DataFrame:
+def grid_forest(data: ModelData, folds: int = 10, parallelism: int = 16) -> GridResult:
     """Depth 4-8 by 6, 8, 10, 12 features of a forest of 10 Gini trees."""
     forest = RandomForestClassifier(**_IO, numTrees=10, seed=0)
     return grid_search(data, forest, range(4, 9), (6, 8, 10, 12), folds, parallelism)

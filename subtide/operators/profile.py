@@ -15,20 +15,33 @@ from subtide.functions import ratio
 
 
 def drop_any_null(df: DataFrame) -> DataFrame:
-    """Rows without a null in any column."""
+    """Rows without a null (or NaN) in any column."""
     return df.na.drop("any")
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN of floating-point columns turned into null, so that one rule holds for unknown values."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    known = {c: F.when(~F.isnan(quoted(c)), F.col(quoted(c))) for c in floating}
+    return df.withColumns(known) if known else df
+
+
+def quoted(name: str) -> str:
+    """A column name as it stands in SQL text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Null count of each column, in one pass: (column, nulls)."""
+    """Count of nulls (and NaN) of each column, in one pass: (column, nulls)."""
     columns = list(columns or df.columns)
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    known = nan_to_null(df)
+    counts = known.agg(*[F.count_if(F.col(quoted(c)).isNull()).alias(c) for c in columns])
     return counts.unpivot([], columns, "column", "nulls")
 
 
 def null_rate(df: DataFrame, column: str) -> DataFrame:
-    """Share of rows in which a column is null, as one row."""
-    return df.agg(F.avg(F.col(column).isNull().cast("double")).alias("null_rate"))
+    """Share of rows in which a column is null (or NaN), as one row."""
+    return nan_to_null(df).agg(F.avg(F.col(quoted(column)).isNull().cast("double")).alias("null_rate"))
 
 
 def distinct_count(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
@@ -44,17 +57,18 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
     """Smallest and largest value, as one row."""
-    return df.agg(F.min(column).alias("min_value"), F.max(column).alias("max_value"))
+    return nan_to_null(df).agg(F.min(column).alias("min_value"), F.max(column).alias("max_value"))
 
 
 def mean(df: DataFrame, column: str) -> DataFrame:
     """Mean over non-null values, as one row."""
-    return df.agg(F.avg(column).alias("mean_value"))
+    return nan_to_null(df).agg(F.avg(column).alias("mean_value"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows for each non-null value of a column."""
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    known = nan_to_null(df).where(F.col(column).isNotNull())
+    return known.groupBy(column).agg(F.count("*").alias("n"))
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
@@ -73,7 +87,8 @@ def group_nonnull_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     others = [c for c in df.columns if c not in keys]
     return (
-        df.na.drop("any", subset=keys)
+        nan_to_null(df)
+        .na.drop("any", subset=keys)
         .groupBy(*keys)
         .agg(*[F.count(F.col(c)).alias(c) for c in others])
     )
@@ -90,14 +105,14 @@ def monthly_accounts(df: DataFrame, date_col: str = "account_creation_date") ->
 
 def group_sums(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Sum of each measure in each group."""
-    return df.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    return nan_to_null(df).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
 def group_mixed_agg(
     df: DataFrame, key: str, date_col: str, measures: Sequence[str]
 ) -> DataFrame:
     """First and last date and the sum of each measure, by key."""
-    return df.groupBy(key).agg(
+    return nan_to_null(df).groupBy(key).agg(
         F.min(date_col).alias("date_min"),
         F.max(date_col).alias("date_max"),
         *[F.sum(m).alias(f"{m}_sum") for m in measures],
@@ -107,14 +122,19 @@ def group_mixed_agg(
 def pivot_mean(
     df: DataFrame,
     index: str,
-    months: Sequence[tuple[int, int]],
     values: dict[str, str],
+    months: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Mean of some values by index (rows) and month (columns).
 
-    ``months`` lists the (year, month) columns. ``values`` maps a value column to
-    the prefix of its output columns: ``spend`` gives ``spend_2019_07``.
+    ``months`` lists the (year, month) columns; left out, they are the months of the
+    table, which are read first: one name for each group of output columns.
+    ``values`` maps a value column to the prefix of its output columns: ``spend``
+    gives ``spend_2019_07``.
     """
+    if months is None:
+        found = df.select("year", "month").dropna().distinct().collect()
+        months = sorted((int(r["year"]), int(r["month"])) for r in found)
     month_key = F.format_string("%d_%02d", F.col("year").cast("int"), F.col("month").cast("int"))
     wanted = [f"{y}_{m:02d}" for y, m in months]
     pivoted = (

@@ -8,17 +8,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from subtide.sources import materialize
+from subtide.operators.profile import quoted
 
-# A lookup table above this many rows is joined through a shuffle instead of
-# being broadcast. At a few fixed-width columns this is some tens of megabytes.
-LOOKUP_MAX_ROWS = 200_000
-# A key with at least this share of the rows, and this many, is joined apart.
-HOT_SHARE = 0.01
-HOT_MIN_ROWS = 1_000_000
-# How many ways each key of the shuffled lookup join is split.
-LOOKUP_SALTS = 64
+# Rows that the sketch of hot keys may come from are counted by this many counters for each key asked for.
+SKETCH = 10
 
 
 def merge(
@@ -36,45 +31,48 @@ def merge(
     return left.join(right, keys, how)
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def lookup_join(
     left: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     spread_by: str,
-    max_rows: int = LOOKUP_MAX_ROWS,
-    salts: int = LOOKUP_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Left join of a big table to a stored lookup table that is expected to be small.
-
-    The lookup's rows are counted first, so it should be a table that was read or
-    written, see :func:`subtide.sources.materialize`. Up to ``max_rows`` it is
-    broadcast and the big side is not shuffled. Beyond, the big side is shuffled
-    with every key split ``salts`` ways by a hash of ``spread_by`` and the lookup
-    repeated for each split, so that one key with a large share of the rows is
-    spread over many tasks. Both ways give the same rows.
+    """Left join of a big table to a lookup table with one row for each key.
+
+    Every key is split ``salts`` ways (left out: the number of shuffle partitions) by
+    a hash of ``spread_by``, and the lookup repeated for each, so a key with a large
+    share of the rows is spread over all tasks if the big side is shuffled. Whether
+    it is, or the lookup is broadcast, is left to Spark, which goes by its bytes.
     """
     keys = list(on)
-    if lookup.count() <= max_rows:
-        return left.join(F.broadcast(lookup), keys, "left")
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    salts = salts or _partitions(left)
+    salt = F.pmod(F.xxhash64(quoted(spread_by)), F.lit(salts)).cast("int")
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
-def hot_keys(
-    df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
-) -> list:
-    """Keys that hold at least ``share`` of the rows and ``min_rows`` of them.
+def hot_keys(df: DataFrame, key: str, share: float | None = None) -> dict:
+    """Keys that hold at least ``share`` of the rows, each with its own share.
 
-    One pass with a bounded sketch, whose counts are estimates: at most 1 / share
-    keys come back. Which keys are found only decides how a join runs.
+    Left out, ``share`` is a quarter of what an even task has. One pass with a
+    bounded sketch, whose counts are estimates: at most 1 / share keys come back.
+    Which keys are found only decides how a join runs.
     """
+    share = share or 1 / (4 * _partitions(df))
     most = math.ceil(1 / share)
     top, total = df.agg(
-        F.expr(f"approx_top_k({key}, {most}, {10 * most})"), F.count("*")
+        F.expr(f"approx_top_k({quoted(key)}, {most}, {SKETCH * most})"), F.count("*")
     ).first()
-    least = max(share * total, min_rows)
-    return [r["item"] for r in top if r["item"] is not None and r["count"] >= least]
+    return {
+        r["item"]: r["count"] / total
+        for r in top
+        if r["item"] is not None and r["count"] >= share * total
+    }
 
 
 def join_splitting_hot_keys(
@@ -82,37 +80,40 @@ def join_splitting_hot_keys(
     right: DataFrame,
     key: str,
     how: str = "inner",
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
+    share: float | None = None,
 ) -> DataFrame:
     """Inner, left or left-semi join of rows to a table with about one row for each key.
 
-    The rows of keys that hold a large share of ``left`` are not shuffled, as each
-    such key would fill a single task: they stay where they are and meet the few
-    right rows of those keys by broadcast, once those have been counted. All other
-    rows are joined as usual, and so is everything if no key is hot.
+    A key that holds a large share of ``left`` would fill a single task. Its rows are
+    dealt to as many tasks as its share is worth, by a hash of the whole row, and the
+    right rows of that key are repeated for each. All keys together are repeated at
+    most five times as often as there are shuffle partitions. The other rows are
+    joined as usual, and so is everything if no key is hot.
     """
-    hot = hot_keys(left, key, share, min_rows)
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(f"an inner, left or left_semi join, not {how!r}")
+    hot = hot_keys(left, key, share)
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = right.where(is_hot)
-    few = materialize(few.select(key).distinct() if how == "left_semi" else few, "hot")
-    if few.count() > LOOKUP_MAX_ROWS:
-        return left.join(right, key, how)
-    apart = left.where(is_hot).join(F.broadcast(few), key, how)
-    return left.where(~is_hot).join(right, key, how).unionByName(apart)
+    tasks = _partitions(left)
+    rows = [(k, max(1, math.ceil(part * tasks))) for k, part in hot.items()]
+    schema = T.StructType([T.StructField(key, left.schema[key].dataType), T.StructField("_salts", T.IntegerType())])
+    # At most 1 / share rows, which bounds the broadcast.
+    splits = F.broadcast(left.sparkSession.createDataFrame(rows, schema))
+    marked = left.join(splits, key, "left")
+    whole_row = F.xxhash64(*[quoted(c) for c in left.columns])
+    apart = marked.where("_salts IS NOT NULL").withColumn("_salt", F.pmod(whole_row, F.col("_salts")).cast("int"))
+    few = right.select(key).distinct() if how == "left_semi" else right
+    few = few.join(splits, key).withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)"))).drop("_salts")
+    apart = apart.join(few, [key, "_salt"], how).drop("_salts", "_salt")
+    return marked.where("_salts IS NULL").drop("_salts").join(right, key, how).unionByName(apart)
 
 
 def keep_ids(
-    df: DataFrame,
-    ids: DataFrame,
-    key: str = "subid",
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
+    df: DataFrame, ids: DataFrame, key: str = "subid", share: float | None = None
 ) -> DataFrame:
     """Rows whose key is in ``ids`` (left-semi join; no id list on the driver)."""
-    return join_splitting_hot_keys(df, ids.select(key), key, "left_semi", share, min_rows)
+    return join_splitting_hot_keys(df, ids.select(key), key, "left_semi", share)
 
 
 def id_intersection(*frames: DataFrame, key: str = "subid") -> DataFrame:

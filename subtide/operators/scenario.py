@@ -18,7 +18,7 @@ ACCEPT_RATE = 0.3
 def _outcome(threshold: float, accept_rate: float, key: str) -> dict[str, Column]:
     """Offer, acceptance, base renewal and plan of a row at one threshold."""
     offered = F.coalesce(F.col("y_pred") >= F.lit(threshold), F.lit(False))
-    accepted = offered & (u01(key, f"accept{threshold:g}") <= F.lit(accept_rate))
+    accepted = offered & (u01(key, f"accept{repr(float(threshold)).removesuffix('.0')}") <= F.lit(accept_rate))
     at_base = (F.col("y_actual") == 0) & ~accepted
     plan = F.when(accepted, "offer").when(at_base, "base").otherwise("churn")
     flags = {"get_offer": offered, "accept_offer": accepted, "renew_at_base": at_base}

@@ -4,6 +4,7 @@ from subtide.plans.registry import BUILDERS, ORACLES, QUERIES
 from subtide.plans import (  # noqa: F401  (importing registers the queries)
     abtest_plans,
     channel_plans,
+    check_plans,
     churn_plans,
     metric_plans,
     model_plans,

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from subtide.operators import channel, clv, profile
 from subtide.plans.inputs import Inputs
 from subtide.plans.registry import query
-
-# The months of the sample tables, without the excluded June.
-MONTHS = [(y, m) for y in range(1995, 2002) for m in range(1, 13) if m != 6 and (y, m) <= (2001, 7)]
+from subtide.sources import materialize
 
 
 def spend_long(t: Inputs) -> DataFrame:
@@ -75,19 +73,23 @@ def mean(t: Inputs) -> DataFrame:
     return profile.mean(technical_cac(t), "cac").select(F.round("mean_value", 8).alias("mean_value"))
 
 
+# For the statement only: the sample orders run from 1995-01 to 2001-08, June is left out.
+_PIVOT_MONTHS = [(y, m) for y in range(1995, 2002) for m in range(1, 13) if m != 6 and (y, m) <= (2001, 8)]
+
+
 @query(
     "pivot_mean",
     "SELECT attribution, "
     + ", ".join(
         f"avg(spend) FILTER (year = {y} AND month = {m}) AS spend_{y}_{m:02d}, "
         f"avg(total_users) FILTER (year = {y} AND month = {m}) AS users_{y}_{m:02d}"
-        for y, m in MONTHS
+        for y, m in _PIVOT_MONTHS
     )
     + " FROM cac_technical GROUP BY attribution",
 )
 def pivot_mean(t: Inputs) -> DataFrame:
     values = {"spend": "spend", "total_users": "users"}
-    return profile.pivot_mean(technical_cac(t), "attribution", MONTHS, values)
+    return profile.pivot_mean(materialize(technical_cac(t), "cac"), "attribution", values)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,12 @@ from subtide.plans.registry import query
 THRESHOLD = 0.55
 
 
-def fixed_score(table: DataFrame) -> DataFrame:
+def fixed_score(table: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Test rows with a score in [0, 1] that has ties and leans towards the label."""
     _, test = encode.train_test_split(table)
     lift = F.lit(0.4) * F.col("churn") * u01("subid", "lift")
     score = F.round(u01("subid", "score") * 0.6 + lift, 3)
-    return test.select("subid", F.col("churn").alias("y_actual"), score.alias("y_pred"))
+    return test.select("subid", F.col("churn").alias("y_actual"), score.alias("y_pred"), *carry)
 
 
 def labelled(t: Inputs) -> DataFrame:

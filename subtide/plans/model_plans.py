@@ -47,12 +47,12 @@ def fit_ols(t: Inputs) -> DataFrame:
 
 @query("grid_tree")
 def grid_tree(t: Inputs) -> DataFrame:
-    return models.grid_tree(models.prepare(features(t)))
+    return models.grid_tree(models.prepare(features(t))).table
 
 
 @query("grid_forest")
 def grid_forest(t: Inputs) -> DataFrame:
-    return models.grid_forest(models.prepare(features(t)))
+    return models.grid_forest(models.prepare(features(t))).table
 
 
 def _importances(t: Inputs, kind: str) -> DataFrame:

@@ -9,7 +9,25 @@ from __future__ import annotations
 import re
 from itertools import accumulate
 
-from subtide.operators.churn import GENRE_SHARES, INTENDED_USE_SHARES, MEASURES
+# Stated here again, so that a wrong value in the operators shows.
+GENRE_SHARES = {"comedy": 0.65, "drama": 0.24, "regional": 0.052, "international": 0.033, "other": 0.025}
+INTENDED_USE_SHARES = {
+    "access to exclusive content": 0.40,
+    "replace OTT": 0.28,
+    "supplement OTT": 0.11,
+    "expand regional access": 0.085,
+    "expand international access": 0.071,
+    "education": 0.027,
+    "other": 0.027,
+}
+MEASURES = (
+    "app_opens",
+    "cust_service_mssgs",
+    "num_videos_completed",
+    "num_videos_more_than_30_seconds",
+    "num_videos_rated",
+    "num_series_started",
+)
 
 
 def u01(key: str, salt: str) -> str:

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subtide.operators import channel, churn, profile, relational
-from subtide.operators.churn import MEASURES
 from subtide.plans.inputs import Inputs
-from subtide.plans.oracle import COMPLETE
+from subtide.plans.oracle import COMPLETE, MEASURES
 from subtide.plans.registry import query
 from subtide.sources import load_spend_csv, shared_folder, write_csv
 
@@ -101,7 +100,7 @@ def monthly_accounts(t: Inputs) -> DataFrame:
 )
 def group_sums(t: Inputs) -> DataFrame:
     complete = profile.drop_any_null(t.engagement)
-    return profile.group_sums(complete, ["subid", "payment_period"], MEASURES)
+    return profile.group_sums(complete, ["subid", "payment_period"], churn.MEASURES)
 
 
 @query(
@@ -112,7 +111,7 @@ def group_sums(t: Inputs) -> DataFrame:
 )
 def group_mixed_agg(t: Inputs) -> DataFrame:
     rows = profile.drop_any_null(t.engagement).where(F.col("payment_period") != 0)
-    return profile.group_mixed_agg(rows, "subid", "date", MEASURES)
+    return profile.group_mixed_agg(rows, "subid", "date", churn.MEASURES)
 
 
 @query(
@@ -126,13 +125,13 @@ def group_mixed_agg(t: Inputs) -> DataFrame:
     ),
 )
 def pearson_pairs(t: Inputs) -> DataFrame:
-    pairs = profile.pearson_pairs(t.engagement, MEASURES)
+    pairs = profile.pearson_pairs(t.engagement, churn.MEASURES)
     return pairs.select("col_a", "col_b", F.round("r", 8).alias("r"))
 
 
 @query("pearson_p_values")
 def pearson_p_values(t: Inputs) -> DataFrame:
-    return profile.pearson_pairs(t.engagement, MEASURES, p_values=True)
+    return profile.pearson_pairs(t.engagement, churn.MEASURES, p_values=True)
 
 
 @query(

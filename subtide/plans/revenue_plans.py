@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from subtide.operators import clv, models, scenario
 from subtide.operators.scenario import THRESHOLDS
 from subtide.plans.channel_plans import technical_cac
-from subtide.plans.churn_plans import features, stored_features
+from subtide.plans.churn_plans import features
 from subtide.plans.inputs import Inputs
 from subtide.plans.metric_plans import fixed_score
 from subtide.plans.oracle import u01
@@ -114,9 +114,8 @@ _CLV = (
 
 
 def _fixed_score_clv(t: Inputs, with_cac: bool) -> DataFrame:
-    table = stored_features(t)
-    costs = clv.subscriber_cac(table, technical_cac(t))
-    return clv.clv(fixed_score(table), costs, with_cac=with_cac)
+    costed = clv.with_costs(fixed_score(features(t), clv.COST_COLUMNS), technical_cac(t))
+    return clv.clv(costed, with_cac=with_cac)
 
 
 @query("clv_with_cac", _CLV.format(less="- c.cac_filled", name="clv_with_cac"))
@@ -133,8 +132,8 @@ def clv_without_cac(t: Inputs) -> DataFrame:
 def clv_of_tree_score(t: Inputs) -> DataFrame:
     """The whole chain on the fitted tree: score, acquisition cost, lifetime value."""
     data = models.prepare(features(t))
-    scored = models.score(models.fit(data, "tree"), data.test).drop("y_label")
-    return clv.clv(scored, clv.subscriber_cac(data.table, technical_cac(t)))
+    scored = models.score(models.fit(data, "tree"), data.test, clv.COST_COLUMNS).drop("y_label")
+    return clv.clv(clv.with_costs(scored, technical_cac(t)))
 
 
 @query("offers_of_tree_score")

@@ -12,6 +12,8 @@ from subtide.sources.tables import (
     load_spend_csv,
     load_table,
     materialize,
+    release,
+    release_all,
     shared_folder,
     write_csv,
 )
@@ -25,6 +27,8 @@ __all__ = [
     "load_spend_csv",
     "load_table",
     "materialize",
+    "release",
+    "release_all",
     "require",
     "shared_folder",
     "write_csv",

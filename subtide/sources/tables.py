@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,19 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def load_spend_csv(spark: SparkSession, path: str, date_col: str = "date") -> DataFrame:
+def load_spend_csv(
+    spark: SparkSession, path: str, date_col: str = "date", date_format: str | None = None
+) -> DataFrame:
     """Read a wide spend CSV: a date and one money column for each channel.
 
     Money is text with ``,`` between thousands. Every column is read as text
     (no inference pass over the data), the separators are taken out and the rest
     cast to double; text that is still no number raises. The date becomes
-    ``year`` and ``month``.
+    ``year`` and ``month``; ``date_format`` is a pattern such as ``M/d/yyyy``, ISO
+    dates need none.
     """
     raw = spark.read.csv(path, header=True)
-    day = F.to_date(F.col(date_col))
+    day = F.to_date(F.col(date_col), date_format)
     channels = [c for c in raw.columns if c != date_col]
     money = [F.translate(F.col(f"`{c}`"), ",", "").cast("double").alias(c) for c in channels]
     return raw.select(F.year(day).alias("year"), F.month(day).alias("month"), *money)
@@ -34,13 +38,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def checkpoint_table(df: DataFrame, path: str) -> DataFrame:
+# Paths of stored tables by application.
+_STORED: dict[str, list[str]] = {}
+
+
+def checkpoint_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table as Parquet and return a reader of what was written.
 
     The reader has no lineage behind it and, unlike a cached frame, outlives
     lost executors. Its file sizes also give the optimizer true statistics.
     """
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +67,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """:func:`checkpoint_table` under a fresh name in the shared folder."""
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """:func:`checkpoint_table` under a fresh name in the shared folder.
+
+    The table stays until :func:`release` is called on what comes back, or
+    :func:`release_all` for the whole session.
+    """
     path = f"{shared_folder(df.sparkSession)}/subtide/{name}-{uuid.uuid4().hex}"
-    return checkpoint_table(df, path)
+    stored = checkpoint_table(df, path, partition_by)
+    _STORED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete the files behind tables that :func:`materialize` wrote and that ``stored`` reads."""
+    own = _STORED.get(stored.sparkSession.sparkContext.applicationId, [])
+    read = stored.inputFiles()
+    for path in [p for p in own if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in read)]:
+        _delete(stored.sparkSession, path)
+        own.remove(path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all that :func:`materialize` wrote in this session."""
+    for path in _STORED.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -120,8 +120,6 @@ def test_imputation_from_observed_shares(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "subid long, c string")
     assert churn.observed_shares(df, "c") == {"a": 2 / 3, "b": 1 / 3}
     assert churn.impute_categorical(df, "c").where("c IS NULL").isEmpty()
-    with pytest.raises(ValueError, match="more than 1"):
-        churn.observed_shares(df, "c", cap=1)
 
 
 def test_pick_follows_the_edges(spark):
@@ -152,12 +150,30 @@ def test_dummies_drop_first_level_and_zero_nulls(spark):
     assert fixed.columns == ["subid", "flag", "kind_c"]
 
 
-def test_dummy_limits(spark):
-    df = spark.createDataFrame([("a b",), ("a_b",), ("0",)], "kind string")
-    with pytest.raises(ValueError, match="not unique"):
-        encode.dummy_encode(df, ["kind"])
-    with pytest.raises(ValueError, match="more than 2"):
-        encode.category_levels(df, ["kind"], cap=2)
+def test_dummy_names_of_many_and_odd_levels(spark):
+    df = spark.createDataFrame([("a b",), ("a_b",), ("0",), ("Ä",), ("ä",), ("да",)], "kind string")
+    coded = encode.dummy_encode(df, ["kind"])
+    assert coded.columns == ["kind_a_b_1", "kind_a_b_2", "kind_ä_3", "kind_ä_4", "kind_да"]
+    assert sorted(sum(r) for r in coded.collect()) == [0, 1, 1, 1, 1, 1]
+    many = spark.range(300).selectExpr("concat('level', id) AS kind")
+    assert len(encode.dummy_encode(many, ["kind"]).columns) == 299
+    assert len(churn.observed_shares(many, "kind")) == 300
+
+
+def test_nan_is_unknown_in_all_engagement_features(spark):
+    nan = float("nan")
+    data = [(1, date(2019, 7, 1), 0, 1.0), (1, date(2019, 7, 2), 0, nan), (1, date(2019, 8, 1), 1, nan)]
+    df = spark.createDataFrame(data, "subid long, date date, payment_period int, app_opens double")
+    df = df.withColumns({m: F.lit(2.0) for m in churn.MEASURES[1:]}).withColumn("odd name", F.lit(1))
+    both = churn.engagement_features(df).first()
+    trial = churn.trial_engagement(df).first()
+    assert both.app_opens_trial == trial.app_opens_trial == 1.0
+    assert both.num_videos_rated_trial == trial.num_videos_rated_trial == 2.0
+    assert both.app_opens_sum_daily == 0.0 and churn.daily_engagement(df).isEmpty()
+
+
+def test_limits_of_encoding(spark):
+    df = spark.createDataFrame([("a",)], "kind string")
     with pytest.raises(ValueError, match="neither text nor flag"):
         encode.category_levels(df.withColumn("n", F.lit(1)), ["n"])
 

@@ -136,3 +136,12 @@ def test_r2(spark):
     want = 1 - sum((y - s) ** 2 for y, s in pairs) / sum((y - mean) ** 2 for y, _ in pairs)
     assert metrics.r2(_scored(spark, pairs)).first()[0] == pytest.approx(want)
     assert metrics.r2(_scored(spark, [(1, 0.2), (1, 0.4)])).first()[0] is None
+
+
+def test_unknown_labels_raise(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (None, 0, 0.5)], "y_actual int, y_label int, y_pred double")
+    for metric in (metrics.confusion_matrix, metrics.accuracy, metrics.r2, metrics.classification_report):
+        with pytest.raises(Exception, match="unknown labels"):
+            metric(df).collect()
+    with pytest.raises(Exception, match="unknown labels"):
+        metrics.roc_curve(df)

@@ -97,7 +97,9 @@ def test_ols_against_numpy(data, matrix):
 
 def test_grid(data):
     tree = models.decision_tree(len(data.features), seed=0)
-    grid = models.grid_search(data, tree, (2, 4), (6, 99), folds=2, parallelism=4).collect()
+    grid = models.grid_search(data, tree, (2, 4), (6, 99), folds=2, parallelism=4)
+    assert models.score(grid.model, data.test).count() == data.test.count()
+    grid = grid.table.collect()
     assert [(r.max_depth, r.max_features) for r in grid] == [(2, "6"), (2, "all"), (4, "6"), (4, "all")]
     assert sum(r.is_best for r in grid) == 1
     best = next(r for r in grid if r.is_best)

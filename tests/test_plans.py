@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from subtide.operators import channel, churn, relational, scenario
+from subtide.operators import channel, churn, models, relational, scenario
 from subtide.plans import BUILDERS
 from subtide.plans.churn_plans import features
 
@@ -13,7 +13,8 @@ MODEL_QUERIES = {
     "fit_tree", "fit_forest", "fit_gbt", "fit_logistic", "fit_ols", "grid_tree", "grid_forest",
     "tree_importances", "forest_importances", "logistic_coefficients", "scored_test", "tree_roc",
     "tree_threshold_report", "model_auc", "model_roc", "model_reports", "clv_of_tree_score",
-    "offers_of_tree_score",
+    "offers_of_tree_score", "ols_optimum", "tree_importance_names", "tree_leaf_means", "fit_tree_rows",
+    "scored_test_rows", "tree_roc_shape", "clv_of_tree_score_rows",
 }
 
 
@@ -46,6 +47,18 @@ def test_scans_are_pruned_and_filtered(inputs):
     assert "ReadSchema: struct<subid:bigint,account_creation_date:date,attribution_technical:string>" in text
 
 
+def test_lifetime_value_has_no_shuffle_by_subscriber(inputs):
+    text = plan(BUILDERS["clv_with_cac"](inputs.staged()))
+    assert text.count("/features-") == 0 and "Exchange hashpartitioning(subid, _salt" not in text
+
+
+def test_model_rows_are_drawn_and_assembled_once(inputs):
+    data = models.prepare(features(inputs))
+    for rows in (data.train, data.test):
+        text = plan(rows)
+        assert "md5" not in text and "UDF" not in text and "is_train" in text.split("PartitionFilters")[1][:60]
+
+
 def test_feature_table_scans_each_input_once(inputs):
     text = plan(features(inputs))
     assert text.count("FileScan parquet") == 3

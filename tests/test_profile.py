@@ -47,11 +47,24 @@ def test_pivot_mean(spark):
         [("e", 2019, 7, 1.0), ("e", 2019, 7, 3.0), ("f", 2020, 1, 5.0)],
         "attribution string, year int, month int, spend double",
     )
-    wide = profile.pivot_mean(df, "attribution", [(2019, 7), (2020, 1)], {"spend": "s"})
+    wide = profile.pivot_mean(df, "attribution", {"spend": "s"}, [(2019, 7), (2020, 1)])
     assert wide.columns == ["attribution", "s_2019_07", "s_2020_01"]
     assert rows(wide) == [("e", 2.0, None), ("f", None, 5.0)]
 
 
+def test_pivot_months_come_from_the_table(spark):
+    df = spark.createDataFrame([("e", 2031, 2, 1.0), ("f", 1990, 12, 5.0)], "attribution string, year int, month int, spend double")
+    assert profile.pivot_mean(df, "attribution", {"spend": "s"}).columns == ["attribution", "s_1990_12", "s_2031_02"]
+
+
+def test_nan_counts_as_null(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, None)], "`x y` double, k string")
+    assert rows(profile.null_profile(df)) == [("k", 1), ("x y", 2)]
+    assert profile.null_rate(df, "x y").first()[0] == 2 / 3
+    assert profile.drop_any_null(df).count() == 1
+    assert rows(profile.group_nonnull_counts(df, ["k"])) == [("a", 1), ("b", 0)]
+
+
 def test_pearson_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=200)

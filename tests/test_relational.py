@@ -13,6 +13,8 @@ from subtide.sources import (
     checkpoint_table,
     load_spend_csv,
     load_table,
+    materialize,
+    release,
     require,
     shared_folder,
     write_csv,
@@ -61,18 +63,24 @@ def test_dedup_first_is_stable(spark, parts):
     assert {r.subid: r.v for r in first.collect()} == {1: "first", 2: "known date", 3: None}
 
 
-@pytest.mark.parametrize("max_rows", [100, 1])
-def test_lookup_join_both_ways(spark, max_rows):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_lookup_join_both_ways(spark, threshold):
     left = spark.range(1000).selectExpr("id AS subid", "IF(id % 3 = 0, 'hot', CAST(id % 5 AS STRING)) AS k")
     left = left.unionByName(spark.sql("SELECT 5000L AS subid, CAST(NULL AS STRING) AS k"))
     lookup = spark.createDataFrame([("hot", 1.0), ("1", 2.0), ("2", 3.0)], "k string, v double")
-    joined = relational.lookup_join(left, lookup, ["k"], "subid", max_rows=max_rows, salts=4)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert ("strategy=broadcast" in plan) == (max_rows == 100)
-    prices = {"hot": 1.0, "1": 2.0, "2": 3.0}
-    assert sorted(joined.select("subid", "v").collect()) == [
-        (r.subid, prices.get(r.k)) for r in sorted(left.collect())
-    ]
+    lookup = materialize(lookup, "lookup")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        joined = relational.lookup_join(left, lookup, ["k"], "subid")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (threshold == "10m")
+        prices = {"hot": 1.0, "1": 2.0, "2": 3.0}
+        assert sorted(joined.select("subid", "v").collect()) == [
+            (r.subid, prices.get(r.k)) for r in sorted(left.collect())
+        ]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 @pytest.fixture
@@ -84,26 +92,38 @@ def skewed(spark):
 
 
 def test_hot_keys(skewed):
-    assert relational.hot_keys(skewed, "subid", min_rows=10) == [7]
-    assert relational.hot_keys(skewed, "subid") == []
-    assert relational.hot_keys(skewed.limit(0), "subid", min_rows=1) == []
+    assert relational.hot_keys(skewed, "subid") == {7: pytest.approx(1 / 3, abs=0.01)}
+    assert relational.hot_keys(skewed.where("subid <> 7"), "subid") == {}
+    assert relational.hot_keys(skewed.limit(0), "subid") == {}
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 @pytest.mark.parametrize("known", ["subid IN (7, 10, 11, 5000)", "subid <> 7"])
 def test_hot_keys_are_joined_apart_with_the_same_rows(spark, skewed, how, known):
     right = spark.range(6000).selectExpr("id AS subid", "id * 2 AS twice").where(known)
-    apart = relational.join_splitting_hot_keys(skewed, right, "subid", how, min_rows=10)
-    plain = relational.join_splitting_hot_keys(skewed, right, "subid", how)
+    apart = relational.join_splitting_hot_keys(skewed, right, "subid", how)
+    plain = relational.join_splitting_hot_keys(skewed.where("subid <> 7"), right, "subid", how)
     assert "Union" in apart._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plain._jdf.queryExecution().optimizedPlan().toString()
     assert apart.columns == plain.columns
-    assert rows(apart) == rows(plain) == rows(skewed.join(right, "subid", how))
+    assert rows(apart) == rows(skewed.join(right, "subid", how))
+
+
+def test_a_large_right_side_of_a_hot_key_is_still_split(skewed):
+    right = skewed.selectExpr("subid", "row AS other").where("subid = 7 AND other < 300")
+    apart = relational.join_splitting_hot_keys(skewed, right, "subid")
+    assert "_salt" in apart._jdf.queryExecution().optimizedPlan().toString()
+    assert apart.count() == right.count() * skewed.where("subid = 7").count()
+
+
+def test_other_joins_are_refused(skewed):
+    with pytest.raises(ValueError, match="right"):
+        relational.join_splitting_hot_keys(skewed, skewed, "subid", "right")
 
 
 def test_keep_ids_of_a_hot_key(skewed):
-    ids = skewed.where("subid = 7 OR subid > 2990")  # the id side holds copies, too
-    kept = relational.keep_ids(skewed, ids, min_rows=10)
+    ids = skewed.where("subid = 7 OR subid > 2990").distinct()  # the id side holds copies, too
+    kept = relational.keep_ids(skewed, ids)
     assert rows(kept) == rows(skewed.where("subid = 7 OR subid > 2990"))
 
 
@@ -112,6 +132,19 @@ def test_unpivot_drops_nulls(spark):
     assert rows(relational.unpivot_channels(wide)) == [(2020, 2, "a", 1.0)]
 
 
+def test_spend_csv_of_other_dates(spark, tmp_path):
+    (tmp_path / "us.csv").write_text("date,email\n7/1/2019,\"1,000\"\n")
+    assert rows(load_spend_csv(spark, str(tmp_path / "us.csv"), date_format="M/d/yyyy")) == [(2019, 7, 1000.0)]
+
+
+def test_stored_tables_are_released(spark):
+    kept, gone = (materialize(spark.range(3), name) for name in ("kept", "gone"))
+    release(gone)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_spend_csv(spark, tmp_path):
     (tmp_path / "spend.csv").write_text('date,facebook,email\n2019-07-01,"1,234","56"\n2019-08-01,,"1,000,000.5"\n')
     spend = load_spend_csv(spark, str(tmp_path / "spend.csv"))

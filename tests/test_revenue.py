@@ -87,21 +87,38 @@ def test_subscriber_cac(customers, channel_table):
     assert clv.mean_cac(channel_table).first()[0] == 6.0
 
 
+def scored_customers(spark, customers, scores):
+    """The customers' cost columns with their scores; a subid may have several."""
+    scored = spark.createDataFrame(scores, "subid long, y_actual int, y_pred double")
+    return scored.join(customers.select("subid", *clv.COST_COLUMNS), "subid", "left")
+
+
 def test_clv_formula(spark, customers, channel_table):
-    scored = spark.createDataFrame([(0, 1, 0.4), (99, 0, 0.1)], "subid long, y_actual int, y_pred double")
-    costs = clv.subscriber_cac(customers, channel_table)
-    value = {r.subid: r.clv_with_cac for r in clv.clv(scored, costs).collect()}
+    scored = scored_customers(spark, customers, [(0, 1, 0.4), (99, 0, 0.1)])
+    costed = clv.with_costs(scored, channel_table)
+    value = {r.subid: r.clv_with_cac for r in clv.clv(costed).collect()}
     assert value[0] == pytest.approx(2.0 * 4 * 1.03 / (1.03 - 0.6) + 2.0 * 4 + 1.5 - 3.0)
     assert value[99] is None
-    without = {r.subid: r.clv_without_cac for r in clv.clv(scored, costs, with_cac=False).collect()}
+    without = {r.subid: r.clv_without_cac for r in clv.clv(costed, with_cac=False).collect()}
     assert without[0] == pytest.approx(value[0] + 3.0)
 
 
 def test_clv_falls_with_churn_and_survives_zero_divisor(spark, customers, channel_table):
-    costs = clv.subscriber_cac(customers, channel_table)
-    scored = spark.createDataFrame(
-        [(0, 0, p / 10) for p in range(11)], "subid long, y_actual int, y_pred double"
-    )
-    values = [r.clv_with_cac for r in clv.clv(scored, costs).orderBy("y_pred").collect()]
+    scored = scored_customers(spark, customers, [(0, 0, p / 10) for p in range(11)])
+    costed = clv.with_costs(scored, channel_table)
+    found = clv.clv(costed).orderBy("y_pred").collect()
+    assert len(found) == 11  # as many rows of a subid as went in
+    values = [r.clv_with_cac for r in found]
     assert values == sorted(values, reverse=True)
-    assert clv.clv(scored, costs, discount_rate=0.0).where("y_pred = 0").first().clv_with_cac is None
+    assert clv.clv(costed, discount_rate=0.0).where("y_pred = 0").first().clv_with_cac is None
+
+
+def test_unknown_numbers_cost_what_nulls_cost(spark, customers, channel_table):
+    nan = customers.withColumn("join_fee", F.lit(float("nan")))
+    assert {r.join_fee for r in clv.subscriber_cac(nan, channel_table).collect()} == {0.0}
+
+
+def test_near_thresholds_have_columns_and_draws_of_their_own(scored):
+    wide = scenario.offer_scenario_wide(scored, [0.1234567, 0.1234568], 0.5)
+    assert {"accept_offer_0_1234567", "accept_offer_0_1234568"} <= set(wide.columns)
+    assert not wide.where("accept_offer_0_1234567 <> accept_offer_0_1234568").isEmpty()
