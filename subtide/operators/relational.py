@@ -14,6 +14,8 @@ from subtide.operators.profile import quoted
 
 # Rows that the sketch of hot keys may come from are counted by this many counters for each key asked for.
 SKETCH = 10
+# The sketch cannot tell more keys than this apart; the largest ones are found first.
+MOST_HOT = 100_000
 
 
 def merge(
@@ -44,13 +46,16 @@ def lookup_join(
 ) -> DataFrame:
     """Left join of a big table to a lookup table with one row for each key.
 
-    Every key is split ``salts`` ways (left out: the number of shuffle partitions) by
-    a hash of ``spread_by``, and the lookup repeated for each, so a key with a large
-    share of the rows is spread over all tasks if the big side is shuffled. Whether
-    it is, or the lookup is broadcast, is left to Spark, which goes by its bytes.
+    Every key is split ``salts`` ways by a hash of ``spread_by``, and the lookup
+    repeated for each, so a key with a large share of the rows is spread over many
+    tasks if the big side is shuffled. Left out, ``salts`` is the root of the number of
+    shuffle partitions: it grows with them, and the repeated lookup stays small. What
+    is still uneven, adaptive execution splits, as both sides come straight from a
+    shuffle. Whether there is one, or the lookup is broadcast, is left to Spark, which
+    goes by bytes.
     """
     keys = list(on)
-    salts = salts or _partitions(left)
+    salts = salts or math.ceil(math.sqrt(_partitions(left)))
     salt = F.pmod(F.xxhash64(quoted(spread_by)), F.lit(salts)).cast("int")
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], "left").drop("_salt")
@@ -64,7 +69,7 @@ def hot_keys(df: DataFrame, key: str, share: float | None = None) -> dict:
     Which keys are found only decides how a join runs.
     """
     share = share or 1 / (4 * _partitions(df))
-    most = math.ceil(1 / share)
+    most = min(math.ceil(1 / share), MOST_HOT)
     top, total = df.agg(
         F.expr(f"approx_top_k({quoted(key)}, {most}, {SKETCH * most})"), F.count("*")
     ).first()
