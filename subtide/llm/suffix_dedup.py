@@ -46,11 +46,15 @@ LENGTH = 50
 GRAM = 16
 STRIDE = 2
 SHARD = 2048  # strings
-SLICE = 2000  # documents
-PARTS = 3  # for each shuffle partition, so that a part's arrays stay small
+GROUP = 8192  # strings
+SLICE = 500  # documents
+CHUNK, PIECE = 1 << 17, 1 << 20  # bytes
+HELD = 200_000  # strings, or eight times as many anchors, that a task adds up before it sends them
+PARTS = 2  # for each shuffle partition, so that a part's arrays stay small
 # No byte of UTF-8 is above 244, so two of them and the end fit 16 bits.
 BASE = 246
-_LAST = np.iinfo(np.int64).max
+_LAST = int(np.iinfo(np.int64).max)
+_NONE = (0, _LAST + 1)
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -71,26 +75,45 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each stretch that names one anchor."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = []
-    width = LENGTH - GRAM + 1
-    block = 1 << 20
-    for at in range(0, len(data) - LENGTH + 1, block):
-        h = _gram_hashes(np.frombuffer(data, np.uint8, min(block + LENGTH - 1, len(data) - at), at))
-        # The place in the low bits makes the first of equal hashes the smallest.
-        least = h & ~_POSITION | np.arange(len(h), dtype=np.uint64)
-        done = 1
-        while done < width:
-            step = min(done, width - done)
-            least = np.minimum(least[:-step], least[step:])
-            done += step
-        anchor = (least & _POSITION).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        found.append((h[anchor[first]], first + at, np.diff(np.append(first, len(anchor)))))
-    return tuple(np.concatenate(c) for c in zip(*found))
+def _stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of windows that name one anchor: text, anchor hash, first window, number of windows.
+
+    Texts are joined to chunks, so that short ones don't cost a pass each; very long
+    ones are cut into pieces that overlap by all but one byte of a window.
+    """
+    found, pieces, size = [], [], 0
+    for doc, text in enumerate(texts):
+        for at in range(0, len(text) - LENGTH + 1, PIECE):
+            pieces.append((doc, at, text[at : at + PIECE + LENGTH - 1] if len(text) > PIECE else text))
+            size += len(pieces[-1][2])
+            if size >= CHUNK:
+                found.append(_chunk(pieces))
+                pieces, size = [], 0
+    if pieces:
+        found.append(_chunk(pieces))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none.astype(np.uint64), none, none)
+
+
+def _chunk(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(x) for _, _, x in pieces])
+    h = _gram_hashes(np.frombuffer(b"".join(x for _, _, x in pieces), np.uint8))
+    # The place in the low bits makes the first of equal hashes the smallest.
+    least = h & ~_POSITION | np.arange(len(h), dtype=np.uint64)
+    width, done = LENGTH - GRAM + 1, 1
+    while done < width:
+        step = min(done, width - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    windows = lengths - LENGTH + 1
+    starts = np.cumsum(lengths) - lengths
+    at = np.repeat(starts, windows) + ragged_arange(windows)
+    piece = np.repeat(np.arange(len(pieces)), windows)
+    anchor = (least[at] & _POSITION).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))
+    of = piece[first]
+    doc, offset = (np.array([x[k] for x in pieces])[of] for k in (0, 1))
+    return doc, h[anchor[first]], at[first] - starts[of] + offset, np.diff(np.append(first, len(anchor)))
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -117,6 +140,13 @@ def _load(folder: str, name: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
 
+def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of a part and packed columns."""
+    part, *packed = zip(*rows)
+    columns = [pa.array(part, pa.int32()), *[pa.array(c, pa.binary()) for c in packed]]
+    return pa.RecordBatch.from_arrays(columns, names=["part", *names])
+
+
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
@@ -131,16 +161,31 @@ def _find_anchors(docs: DataFrame, folder: str, parts: int) -> None:
     """Writes, by part, the sorted hashes of anchors that two documents have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            own = [np.unique(_stretches(t)[0]) for t in _texts(batch)]
-            if not own:
-                continue
-            hashes, counts = np.unique(np.concatenate(own), return_counts=True)
+        held, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
             low = hashes.astype("<u4")
+            rows = []
             for p, mine in _by_part(_part(hashes, parts), parts):
                 both = mine[counts[mine] > 1]
-                values = [pa.array([p], pa.int32()), *[pa.array([low[x].tobytes()], pa.binary()) for x in (mine, both)]]
-                yield pa.RecordBatch.from_arrays(values, names=["part", "seen", "again"])
+                rows.append((p, low[mine].tobytes(), low[both].tobytes()))
+            yield _packed(rows, ["seen", "again"])
+
+        for batch in _sliced(batches):
+            doc, hashes, _, _ = _stretches(_texts(batch))
+            # Each document counts a hash once.
+            order = np.lexsort((hashes, doc))
+            doc, hashes = doc[order], hashes[order]
+            once = np.ones(len(doc), bool)
+            once[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+            held.append(hashes[once])
+            n += len(held[-1])
+            if n >= 8 * HELD:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
 
     def keep(key: tuple, table: pa.Table) -> pa.Table:
         # The low half of the hash: parts split by the high half, and a false match only costs work.
@@ -166,11 +211,9 @@ def _kept(folder: str, parts: int, hashes: np.ndarray) -> np.ndarray:
 def _repeated(batch: pa.RecordBatch, folder: str, parts: int) -> tuple[list[bytes], np.ndarray, ...]:
     """The texts, and of their stretches with a kept anchor: document, hash, first window, number of windows."""
     texts = _texts(batch)
-    found = [_stretches(t) for t in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
-    hashes, first, count = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
-    kept = np.flatnonzero(_kept(folder, parts, hashes.astype(np.uint64)))
-    return texts, doc[kept], hashes[kept].astype(np.uint64), first[kept], count[kept]
+    doc, hashes, first, count = _stretches(texts)
+    kept = np.flatnonzero(_kept(folder, parts, hashes))
+    return texts, doc[kept], hashes[kept], first[kept], count[kept]
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -278,6 +321,17 @@ def least_documents(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     return string, place, least[of]
 
 
+def _groups(strings: np.ndarray, anchors: np.ndarray) -> Iterator[np.ndarray]:
+    """The strings, whole anchors together, in groups of about ``GROUP`` that are merged by themselves."""
+    order = strings[np.argsort(anchors[strings], kind="stable")]
+    ends = np.flatnonzero(np.diff(anchors[order], append=-1)) + 1
+    at = 0
+    while at < len(order):
+        end = ends[min(np.searchsorted(ends, at + GROUP), len(ends) - 1)]
+        yield order[at:end]
+        at = end
+
+
 # ---- the operator
 
 
@@ -285,24 +339,31 @@ def _merge_parts(docs: DataFrame, folder: str, parts: int) -> None:
     """Writes, by part, each stretch's hash and its runs of windows with their smallest document."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, tuple[int, int]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            strings = list(least)
+            hashes = np.fromiter((v[0] for v in least.values()), np.uint64, len(least))
+            own = np.fromiter((v[1] for v in least.values()), np.int64, len(least))
+            lengths = np.fromiter(map(len, strings), np.uint8, len(strings))
+            rows = []
+            for p, mine in _by_part(_part(hashes, parts), parts):
+                text = b"".join([strings[i] for i in mine.tolist()])
+                rows.append((p, text, *(c[mine].tobytes() for c in (lengths, hashes, own))))
+            yield _packed(rows, ["text", "lengths", "anchors", "docs"])
+
         for batch in _sliced(batches):
             texts, doc, hashes, first, count = _repeated(batch, folder, parts)
-            ids = _ids(batch)
-            for p, mine in _by_part(_part(hashes, parts), parts):
-                least: dict[bytes, tuple[int, int]] = {}
-                for d, h, a, n in zip(doc[mine].tolist(), hashes[mine].tolist(), first[mine].tolist(), count[mine].tolist()):
-                    string, own = texts[d][a : a + n + LENGTH - 1], int(ids[d])
-                    if own < least.get(string, (0, _LAST + 1))[1]:
-                        least[string] = (h, own)
-                values = list(least.values())
-                columns = [
-                    pa.array([p], pa.int32()),
-                    pa.array([b"".join(least)], pa.binary()),
-                    pa.array([np.fromiter(map(len, least), np.uint8, len(least)).tobytes()], pa.binary()),
-                    pa.array([np.array([v[0] for v in values], np.uint64).tobytes()], pa.binary()),
-                    pa.array([np.array([v[1] for v in values], np.int64).tobytes()], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "text", "lengths", "anchors", "docs"])
+            ids = _ids(batch).tolist()
+            for d, h, a, n in zip(doc.tolist(), hashes.tolist(), first.tolist(), count.tolist()):
+                string, own = texts[d][a : a + n + LENGTH - 1], ids[d]
+                if own < least.get(string, _NONE)[1]:
+                    least[string] = (h, own)
+            if len(least) >= HELD:
+                yield from flush()
+                least = {}
+        if least:
+            yield from flush()
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         least: dict[bytes, tuple[int, int]] = {}
@@ -312,26 +373,26 @@ def _merge_parts(docs: DataFrame, folder: str, parts: int) -> None:
             for n, h, d in zip(*sent):
                 string = text[at : at + n]
                 at += n
-                if d < least.get(string, (0, _LAST + 1))[1]:
+                if d < least.get(string, _NONE)[1]:
                     least[string] = (h, d)
         strings = list(least)
         anchors = np.array([v[0] for v in least.values()], np.uint64)
         own = np.array([v[1] for v in least.values()], np.int64)
-        windows = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
         least = None
         # An anchor with one string has nothing to merge: its windows have the string's document.
         _, of, times = np.unique(anchors, return_inverse=True, return_counts=True)
         several = times[of] > 1
         alone, shared = np.flatnonzero(~several), np.flatnonzero(several)
         string, place, doc = alone, np.zeros(len(alone), np.int64), own[alone]
-        if len(shared):
-            s, w, d = least_documents([strings[i] for i in shared.tolist()], own[shared])
+        runs = [(string, place, doc)]
+        for mine in _groups(shared, of):
+            s, w, d = least_documents([strings[i] for i in mine.tolist()], own[mine])
             order = np.lexsort((w, s))
             s, w, d = s[order], w[order], d[order]
             begins = np.ones(len(s), bool)
             begins[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-            string = np.concatenate([string, shared[s[begins]]])
-            place, doc = np.concatenate([place, w[begins]]), np.concatenate([doc, d[begins]])
+            runs.append((mine[s[begins]], w[begins], d[begins]))
+        string, place, doc = (np.concatenate(c) for c in zip(*runs))
         digests = np.frombuffer(b"".join(xxh3_128_digest(x) for x in strings), np.uint64).reshape(-1, 2)
         order = np.argsort(digests[:, 0], kind="stable")
         number = np.empty(len(order), np.int64)
