@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subtide.llm.common import ragged_arange, word_count
+from subtide.llm.common import ragged_arange, sliced, word_count
 from subtide.sources import materialize
 
 LIMIT = 3
 BLOCK = 64
 DOCS_PER_SHARD = 20_000
 SEED = 17
+SLICE = 500  # documents cut at a time
 CYCLE = (5, 2, 1)
 _WORD = re.compile("[^ \\t-\\r]+")
 
@@ -218,20 +219,21 @@ def mixed(docs: DataFrame) -> DataFrame:
     planned = plan(sized(docs)).select("row", "size", "before", "words", "blocks", "seats", "step", "start")
     types = planned.select("row.*").schema
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            doc, length, copies = _pieces(pdf)
-            ends = np.searchsorted(doc, np.arange(len(pdf) + 1))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, SLICE):
+            doc, length, copies = _pieces(batch.select(needed).to_pandas())
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            rows = batch.column("row")
             out = []
-            rows = pdf["row"].tolist()
-            for i in np.unique(doc):
-                part = slice(ends[i], ends[i + 1])
-                for text in render(rows[i]["text"], length[part], copies[part]):
-                    out.append({**rows[i], "text": text} | ({"n_chars": len(text)} if "n_chars" in rows[i] else {}))
-            made = pd.DataFrame(out, columns=types.names, dtype=object)
-            yield made
-
-    return planned.mapInPandas(cut, types)
+            for i in np.unique(doc).tolist():
+                part, row = slice(ends[i], ends[i + 1]), rows[i].as_py()
+                for text in render(row["text"], length[part], copies[part]):
+                    out.append({**row, "text": text} | ({"n_chars": len(text)} if "n_chars" in row else {}))
+            columns = [pa.array([r[f.name] for r in out], f.type) for f in rows.type]
+            yield pa.RecordBatch.from_arrays(columns, names=types.names)
+
+    needed = ["size", "before", "words", "blocks", "seats", "step", "start"]
+    return planned.mapInArrow(cut, types)
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:

@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from subtide.llm.common import sliced
 from subtide.sources import materialize
 
 CAPACITY = 2048
 END = 1
 SLICES = 64
+SLICE = 500  # documents encoded at a time
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -47,15 +51,17 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[list[str]], list[list[int
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    plain = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    path = public_tokenizers.path(f"{vocabulary}.json")
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    plain = lru_cache(lambda: Tokenizer.from_file(path))  # few texts need it
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [
-            plain.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t)
+            plain().encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t)
             for t in texts
         ]
 
@@ -67,7 +73,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) ->
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
+        for batch in sliced(batches, SLICE):
             texts = batch.column("text").fill_null("").to_pylist()
             rows, out = [], []
             for row, found in enumerate(encode(texts)):

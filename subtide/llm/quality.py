@@ -219,7 +219,9 @@ def quality(
     Measures are stored once; choosing cutoffs and judging read them back.
     """
     measured = materialize(features(docs, carry), "quality")
-    return judge(measured, cutoffs(measured, labels, rules, risk, error), rules)
+    # Stored as well, a row for each stratum, so that its true size decides the join.
+    chosen = materialize(cutoffs(measured, labels, rules, risk, error), "quality-cutoffs")
+    return judge(measured, chosen, rules)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
