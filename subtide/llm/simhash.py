@@ -104,29 +104,34 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(stored: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp`` and ``component_id``, the smallest doc_id reachable from it; one row for each fingerprint."""
+    """``fp``, its component's ``root`` and ``component_id``, the smallest doc_id in it; one row for each ``fp``."""
     distinct = materialize(stored.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     roots = connected_components(links(distinct, radius))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left")
     rooted = rooted.select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return materialize(salted_join(rooted, smallest, ["root"], F.col("fp")).select("fp", "component_id"), "simhash-components")
+    found = salted_join(rooted, smallest, ["root"], F.col("fp")).select("fp", "root", "component_id")
+    return materialize(found, "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` for each row."""
     stored = materialize(fingerprints(docs.select("doc_id", "text"), shingle), "simhash")
-    return salted_join(stored, components(stored, radius), ["fp"], F.coalesce("doc_id", F.lit(0)))
+    found = salted_join(stored, components(stored, radius), ["fp"], F.coalesce("doc_id", F.lit(0)))
+    return found.select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group, with its own columns: that of the smallest doc_id (then the first text)."""
+    """One row of each group, with its own columns: that of the smallest doc_id, or one of those.
+
+    Rows get a stored number, by which the one that stays is fetched, so texts are
+    shuffled once.
+    """
     carried = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    stored = materialize(fingerprints(carried, shingle), "simhash-rows")
+    numbered = fingerprints(carried, shingle).withColumn("n", F.monotonically_increasing_id())
+    stored = materialize(numbered, "simhash-rows")
     of = components(stored.select("doc_id", "fp"), radius)
-    best = salted_join(stored.select("doc_id", "fp"), of, ["fp"], F.coalesce("doc_id", F.lit(0)))
-    best = best.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = best.groupBy(F.col("doc_id").alias("of")).agg(F.min("fp").alias("fp"))
-    found = stored.join(best, stored.doc_id.eqNullSafe(best["of"]) & (stored.fp == best.fp)).select("row")
-    order = Window.partitionBy("row.doc_id").orderBy(*[F.col(f"row.`{c}`") for c in docs.columns if c == "text"])
-    return found.withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")
+    named = salted_join(stored.select("doc_id", "fp", "n"), of, ["fp"], F.col("n"))
+    first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("root").agg(F.min("n").alias("n")).select("n")
+    return stored.join(kept, "n").select("row.*")
