@@ -4,17 +4,17 @@ A byte goes if a 50-byte string that covers it also starts in a document of a sm
 id. Three passes over the texts, in Spark tasks, with what they share kept as sorted
 arrays below ``spark.checkpoint.dir`` (a folder mounted on all machines):
 
-1. *Anchors.* Each 50-byte window names the 16 bytes in it whose hash is smallest.
+1. *Anchors.* Each 50-byte window names the 32 bytes in it whose hash is smallest.
    Equal windows name equal anchors, so a window whose anchor is in one document only
    has no equal elsewhere. Documents send each anchor's hash once; those that two
    documents sent are kept. This loses nothing and leaves out the unique text.
-2. *Merging.* The text around each kept anchor (all windows that name it, at most 84
+2. *Merging.* The text around each kept anchor (all windows that name it, at most 68
    bytes) goes to the anchor's part, with the smallest document that has it; equal
-   stretches are one string. A part deals its strings to shards, builds each shard's
-   transform, and merges the transforms: starting with the shards one after the
-   other, it refines the interleave by one symbol (two bytes) a round. The rows of a
-   block then share that many symbols, so after 25 rounds the blocks are the
-   intervals of suffixes with a common prefix of 50 bytes. No suffix of different
+   stretches are one string. A part deals the strings of some thousand anchors at a
+   time to shards, builds each shard's transform, and merges the transforms: starting
+   with the shards one after the other, it refines the interleave by one symbol (two
+   bytes) a round. The rows of a block then share that many symbols, so after 25
+   rounds the blocks are the intervals of suffixes with a common prefix of 50 bytes. No suffix of different
    shards is ever compared or sorted anew. The smallest document of an interval is
    that of each of its windows.
 3. *Removal.* Each document looks up its stretches and drops what they tell it to.
@@ -43,7 +43,7 @@ from subtide.llm.common import ragged_arange
 from subtide.sources import shared_folder
 
 LENGTH = 50
-GRAM = 16
+GRAM = 32
 STRIDE = 2
 SHARD = 2048  # strings
 GROUP = 8192  # strings
@@ -62,16 +62,18 @@ _POSITION = np.uint64((1 << 24) - 1)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 16 bytes from each place."""
+    """A hash of the 32 bytes from each place."""
     x = data.astype(np.uint64)
     for step in (1, 2, 4):
         x = x[:-step] | x[step:] << np.uint64(8 * step)
-    h = x[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += x[8:]
+    n = len(x) - GRAM + 8
+    h = np.zeros(n, np.uint64)
+    for at in range(0, GRAM, 8):
+        h += x[at : at + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0x9E3779B97F4A7C15)
     return h
 
 
