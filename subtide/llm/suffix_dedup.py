@@ -49,7 +49,7 @@ SHARD = 2048  # strings
 GROUP = 8192  # strings
 SLICE = 500  # documents
 CHUNK, PIECE = 1 << 17, 1 << 20  # bytes
-HELD = 400_000  # strings, or four times as many anchors, that a task adds up before it sends them
+HELD = 200_000  # strings, or eight times as many anchors, that a task adds up before it sends them
 PARTS = 2  # for each shuffle partition, so that a part's arrays stay small
 # No byte of UTF-8 is above 244, so two of them and the end fit 16 bits.
 BASE = 246
@@ -183,7 +183,7 @@ def _find_anchors(docs: DataFrame, folder: str, parts: int) -> None:
             once[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
             held.append(hashes[once])
             n += len(held[-1])
-            if n >= 4 * HELD:
+            if n >= 8 * HELD:
                 yield from flush()
                 held, n = [], 0
         if n:
