@@ -93,14 +93,18 @@ _REWRITE = re.compile(
     re.IGNORECASE,
 )
 _PART = re.compile(rf"\b{_NAME}\b|[0-9]", re.IGNORECASE)
-_SPLIT = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_SPLIT = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
 _AT_WORDS = (b"at", b"arroba", b"arobase")
-_DIGIT_WORDS = frozenset(w.encode() for w in DIGITS)
+_DIGIT_WORDS = frozenset(w.encode() for w in DIGITS if w.isascii())
+# What the split at other bytes does not show, with the one letter left that matches "i" but for its case.
+_OTHER_WORDS = tuple(w for w in DIGITS if not w.isascii()) + ("İ".lower(),)
+# On lower-case text, only looked for where the word stands: "plus" is a common word.
+_PLUS = re.compile(rf"plus\s+{_DIGIT_WORD}")
 # On lower-case text: a plain "at" or a spaced "@" before what may be a domain.
 _PLAIN_AT = re.compile(r"a(?:t|rroba|robase)\s+[a-z0-9-]+(?:\.[a-z0-9]|\s*[\[({<]|\s+dot\s)")
 _SPACED = re.compile(r"@\s|\s@")
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punto|punkt|point|\.)\s*[\])}>]", re.IGNORECASE)
-_BETWEEN = re.compile(r"[0-9][OolI][0-9OolI]")
+_BETWEEN = re.compile(r"[0-9][OoLlIi][0-9OoLlIi]")
 
 
 def _luhn(digits: str) -> bool:
@@ -152,15 +156,15 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 
 def _disguised(text: str) -> bool:
-    """Whether the second transducer may have something to rewrite."""
+    """Whether the second transducer may have something to rewrite; true whenever it has."""
     words = text.encode().translate(_SPLIT).split()
-    run = 0
-    if not _DIGIT_WORDS.isdisjoint(words):
-        for word in words:
-            run = run + 1 if word in _DIGIT_WORDS else 0
-            if run == 3:
-                return True
-    if b"dot" in words or _BRACKET.search(text) or _BETWEEN.search(text) or ("@" in text and _SPACED.search(text)):
+    if b"dot" in words or not _DIGIT_WORDS.isdisjoint(words):
+        return True
+    if _BRACKET.search(text) or _BETWEEN.search(text) or ("@" in text and _SPACED.search(text)):
+        return True
+    if not text.isascii() and any(w in text.lower() for w in _OTHER_WORDS):
+        return True
+    if b"plus" in words and _PLUS.search(text.lower()):
         return True
     return any(w in words for w in _AT_WORDS) and bool(_PLAIN_AT.search(text.lower()))
 
@@ -176,9 +180,9 @@ class Normal:
         for m in pattern.finditer(self.text):
             new = replace(m)
             out += [self.text[at : m.start()], new]
-            for i in range(at, m.start()):
-                first.append(self.first[i]), last.append(self.last[i])
-                changed.append(self.changed[i] if self.changed else False)
+            first += self.first[at : m.start()]
+            last += self.last[at : m.start()]
+            changed += self.changed[at : m.start()] if self.changed else [False] * (m.start() - at)
             for _ in new:
                 first.append(self.first[m.start()]), last.append(self.last[m.end() - 1])
                 changed.append(True)
@@ -187,9 +191,9 @@ class Normal:
             at = m.end()
         if not out:
             return
-        for i in range(at, len(self.text)):
-            first.append(self.first[i]), last.append(self.last[i])
-            changed.append(self.changed[i] if self.changed else False)
+        first += self.first[at:]
+        last += self.last[at:]
+        changed += self.changed[at:] if self.changed else [False] * (len(self.text) - at)
         self.text, self.first, self.last, self.changed = "".join(out) + self.text[at:], first, last, changed
 
 
