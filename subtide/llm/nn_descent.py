@@ -16,8 +16,10 @@ and at the query's own node, if that is in the graph. Scores are in double preci
 
 Edge cases: rows with a null id, and vectors that are null, zero, or hold null or
 non-finite components, take no part; nor do vectors of another length than most have.
-Repeated rows count once. Equal vectors are all found, smallest id first. An empty
-table gives an empty result. Extra columns are ignored.
+Repeated rows count once, in the index and among the queries. An id with several
+vectors is one neighbour and one query: a pair of ids has the best score of their
+vectors. Equal vectors are all found, smallest id first. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,13 +53,17 @@ _BITS = 33  # of monotonically_increasing_id for the row in its partition
 
 @dataclass(frozen=True)
 class Index:
-    """``nodes`` has ``pos``, ``vector`` and ``members`` (the smallest ids of equal rows)."""
+    """``nodes`` has ``pos``, ``vector`` and ``members`` (the smallest ids of equal rows).
+
+    ``repeats`` says whether an id is a member of several nodes.
+    """
 
     nodes: DataFrame | None
     folder: str
     offsets: tuple[int, ...]
     size: int
     entries: tuple[int, ...]
+    repeats: bool
 
     def rows(self, name: str, at: np.ndarray) -> np.ndarray:
         """Rows of a stored array by position."""
@@ -260,7 +266,9 @@ def build(vectors: DataFrame, members: int, k: int = K, rounds: int = ROUNDS) ->
 
     placed.groupBy("part").applyInArrow(write, "rows long").agg(F.sum("rows")).collect()
     entries = [r["pos"] for r in nodes.select("pos").orderBy(F.xxhash64(F.col("members")[0]), "pos").limit(ENTRIES).collect()]
-    return Index(nodes, folder, offsets, size, tuple(sorted(entries)))
+    uses = nodes.select(F.explode("members").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    repeats = not uses.filter("n > 1").isEmpty()
+    return Index(nodes, folder, offsets, size, tuple(sorted(entries)), repeats)
 
 
 def greedy(index: Index, query: np.ndarray, start: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -289,10 +297,14 @@ def greedy(index: Index, query: np.ndarray, start: np.ndarray, beam: int = BEAM)
 def search(index: Index, queries: DataFrame, top: int, beam: int = BEAM) -> DataFrame:
     """The ``top`` nearest rows found for each query (``vec_id``, ``vector``), but for itself.
 
-    ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the smaller id.
+    ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the smaller id. Where ids
+    have several vectors, all the nodes that a search keeps are ranked, so that nodes
+    of one id do not take the places of others.
     """
-    own = queries.join(index.nodes.select("vector", F.col("pos").alias("own")), "vector", "left")
+    own = queries.select("vec_id", "vector").distinct().join(index.nodes.select("vector", F.col("pos").alias("own")), "vector", "left")
     files = replace(index, nodes=None)
+    # A node more than the top, as the query itself may be one.
+    places = beam if index.repeats else top + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,8 +312,7 @@ def search(index: Index, queries: DataFrame, top: int, beam: int = BEAM) -> Data
             for query_id, own, query in zip(batch.column("vec_id"), batch.column("own"), _matrix(batch.column("vector"))):
                 start = np.array([*files.entries, *([own.as_py()] if own.is_valid else [])], np.int64)
                 pos, _ = greedy(files, query, start, beam)
-                # A node more than the top, as the query itself may be one.
-                pos = pos[: top + 1]
+                pos = pos[:places]
                 scores = (files.rows("vectors", pos) * query).sum(1)
                 out += [(query_id.as_py(), int(p), float(s)) for p, s in zip(pos, scores)]
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, [pa.int64(), pa.int64(), pa.float64()])]
@@ -310,6 +321,7 @@ def search(index: Index, queries: DataFrame, top: int, beam: int = BEAM) -> Data
     spread = own.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vec_id")
     found = spread.select("vec_id", "own", "vector").mapInArrow(find, "query_id long, pos long, score double")
     rows = found.join(index.nodes.select("pos", F.explode("members").alias("vec_id")), "pos").filter("vec_id <> query_id")
+    rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -219,6 +219,25 @@ def test_few_vectors(spark):
     assert nn_descent.search(nn_descent.build(none, 21), none, 20).count() == 0
 
 
+def test_repeated_queries_and_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [rows[0]] + [rows[20]] * 2 + [(40, rng.standard_normal(8).tolist())] + [(50, (vectors[60] * s).tolist()) for s in np.linspace(2, 9, 40)]
+    df = nn_descent.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = nn_descent.search(nn_descent.build(df, 21), df.filter("vec_id % 20 = 0"), 20).toPandas()
+    assert found.query_id.nunique() == 15
+    for query, mine in found.groupby("query_id"):
+        best = {}
+        for own in (np.array(v) for i, v in rows if i == query):
+            for i, v in rows:
+                best[i] = max(best.get(i, -math.inf), float((own * v).sum()))
+        expected = sorted((-s, i) for i, s in best.items() if i != query)[:20]
+        mine = mine.sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21))
+        assert mine.vec_id.tolist() == [i for _, i in expected], query
+
+
 # ---- conversations
 
 
