@@ -75,7 +75,12 @@ def _with_bucket(sizes: DataFrame, buckets: DataFrame) -> DataFrame:
 
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``doc_id``, its shard (``prefix``, ``page``) with the shard's size, and whether it is alone too large."""
-    sizes = materialize(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("n"), hash_bits("doc_id").alias("bits")), "shard-sizes")
+    return _assigned(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("n")), limit).drop("n")
+
+
+def _assigned(numbered: DataFrame, limit: int) -> DataFrame:
+    """:func:`assign` for rows that have a number ``n``, which is carried along."""
+    sizes = materialize(numbered.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64("text").alias("tie"), "n", hash_bits("doc_id").alias("bits")), "shard-sizes")
     buckets = materialize(directory(sizes, limit), "shard-directory")
     placed = _with_bucket(sizes, buckets)
     over = placed.filter(F.col("bucket_bytes") > limit)
@@ -101,7 +106,7 @@ def _pages(over: DataFrame, limit: int) -> DataFrame:
 
 
 def _sized_shards(placed: DataFrame, limit: int) -> DataFrame:
-    kept = placed.select("doc_id", "n_bytes", "prefix", "depth", "page")
+    kept = placed.select("n", "doc_id", "n_bytes", "prefix", "depth", "page")
     kept = materialize(kept, "shard-places")
     total = kept.groupBy("prefix", "page").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
     named = salted_join(kept, total, ["prefix", "page"], F.coalesce("doc_id", F.lit(0)))
@@ -109,7 +114,14 @@ def _sized_shards(placed: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the rows of ``docs`` as Parquet, one folder for each shard."""
-    shards = assign(docs, limit).select("doc_id", "prefix", "page").distinct()
-    joined = docs.join(shards, docs.doc_id.eqNullSafe(shards.doc_id)).select(docs["*"], F.concat_ws("-", F.concat(F.lit("b"), "prefix"), "page").alias("shard"))
+    """Write the rows of ``docs`` as Parquet, one folder for each shard.
+
+    Rows are stored with a number, by which each finds its own shard: those of one id
+    may lie in several.
+    """
+    carried = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("n"))
+    stored = materialize(carried, "shard-rows")
+    shard = F.concat_ws("-", F.concat(F.lit("b"), "prefix"), "page").alias("shard")
+    shards = _assigned(stored.select("doc_id", "text", "n"), limit).select("n", shard)
+    joined = stored.select("row", "n").join(shards, "n").select("row.*", "shard")
     joined.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)

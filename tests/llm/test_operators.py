@@ -397,6 +397,18 @@ def test_shards_are_written(given, tmp_path):
     assert given.sparkSession.read.parquet(str(tmp_path / "shards")).count() == given.count()
 
 
+def test_rows_of_a_hot_id_are_written_once(spark, tmp_path):
+    rows = [(5, "x" * 10, i) for i in range(200)] + [(None, "z" * 10, i) for i in range(200, 300)] + [(i, "y" * 30, i) for i in range(300, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    sharding.write_shards(docs, str(tmp_path / "shards"), 100)
+    found = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert sorted((r.n, r.doc_id, r.text) for r in found) == sorted((n, d, t) for d, t, n in rows)
+    sums = Counter()
+    for r in found:
+        sums[r.shard] += len(r.text)
+    assert max(sums.values()) <= 100
+
+
 # ---- pipeline
 
 
