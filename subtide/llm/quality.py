@@ -192,6 +192,55 @@ def cutoffs(measured: DataFrame, labels: DataFrame, rules=RULES, risk: float = R
     return counted.select("stratum", *chosen)
 
 
+def joint_cutoffs(measured: DataFrame, labels: DataFrame, rules=RULES, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """Like :func:`cutoffs`, with the risk bounded once for all rules together.
+
+    Rules are added one after the other. Those already added and a cutoff of the next
+    may together reject the whole ``risk``. A rule's cutoffs reject ever more, so they
+    are tested from the loosest on and the first that fails ends it, which needs no
+    correction. The error is divided among strata and rules, and a rule's share among
+    all the outcomes that the rules before it can have. Of the cutoffs that hold, those
+    count that reject a larger share of the bad documents than of the good ones among
+    the documents that no earlier rule rejects.
+    """
+    marked = (
+        labels.select("doc_id", "quality")
+        .dropna()
+        .groupBy("doc_id")
+        .agg((F.min("quality") == 1).alias("good"))
+    )
+    known = measured.filter(~F.col("base_failed")).join(marked, "doc_id")
+    # How many cutoffs of each rule a document exceeds says all: one row for each combination.
+    above = [sum((_measure(rule) > c).cast("int") for c in rule.cutoffs).alias(f"above_{r}") for r, rule in enumerate(rules)]
+    found = known.select("stratum", "good", *above).groupBy("stratum", "good", *[f"above_{r}" for r in range(len(rules))]).agg(F.count(F.lit(1)).alias("n"))
+    strata = found.select("stratum").distinct().withColumn("strata", F.count(F.lit(1)).over(_everything()))
+    found = found.join(strata, "stratum").withColumn("rejected", F.lit(False))
+    whole = Window.partitionBy("stratum")
+    counted = lambda of: F.coalesce(F.sum(F.when(of, F.col("n"))).over(whole), F.lit(0))
+    found = found.withColumn("n_good", counted(F.col("good"))).withColumn("n_bad", counted(~F.col("good")))
+    outcomes = 1
+    for r, rule in enumerate(rules):
+        level = F.lit(error / (len(rules) * outcomes)) / F.col("strata")
+        ascending = sorted(rule.cutoffs)
+        totals = []
+        for c in range(len(ascending)):
+            above = F.col(f"above_{r}") > c
+            totals.append(F.struct(counted(F.col("good") & (F.col("rejected") | above)).alias("joint"), counted(F.col("good") & above & ~F.col("rejected")).alias("good"), counted(~F.col("good") & above & ~F.col("rejected")).alias("bad")).alias(f"of_{c}"))
+        found = found.select("*", *totals)
+        holding = []
+        for c in range(len(ascending)):
+            of = F.col(f"of_{c}")
+            bound = binomial_cdf(of["joint"], F.col("n_good"), risk) <= level
+            useful = of["bad"] * F.col("n_good") > of["good"] * F.col("n_bad")
+            holding.append(F.when(bound & useful, F.lit(c)))
+        # The bound only rises with the count, so none of the looser ones fails before it.
+        found = found.withColumn("c", F.array_min(F.array(*holding))).drop(*[f"of_{c}" for c in range(len(ascending))])
+        found = found.withColumn("rejected", F.col("rejected") | F.coalesce(F.col(f"above_{r}") > F.col("c"), F.lit(False)))
+        found = found.withColumn(f"cutoff_{rule.name}", F.get(F.array(*map(F.lit, ascending)), F.col("c"))).drop("c")
+        outcomes *= len(ascending) + 1
+    return found.groupBy("stratum").agg(*[F.first(f"cutoff_{rule.name}").alias(f"cutoff_{rule.name}") for rule in rules])
+
+
 def _everything() -> WindowSpec:
     """All strata together: one row for each language, already aggregated."""
     return Window.partitionBy(F.lit(0))
@@ -213,6 +262,7 @@ def quality(
     rules=RULES,
     risk: float = RISK,
     error: float = ERROR,
+    choose=cutoffs,
 ) -> DataFrame:
     """The measures and the verdict of each document, with its ``row`` if carried.
 
@@ -220,10 +270,10 @@ def quality(
     """
     measured = materialize(features(docs, carry), "quality")
     # Stored as well, a row for each stratum, so that its true size decides the join.
-    chosen = materialize(cutoffs(measured, labels, rules, risk, error), "quality-cutoffs")
+    chosen = materialize(choose(measured, labels, rules, risk, error), "quality-cutoffs")
     return judge(measured, chosen, rules)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return quality(docs, labels, carry=True).filter("kept").select("row.*")
+    """The documents that pass, with their own columns; cutoffs are the joint ones."""
+    return quality(docs, labels, carry=True, choose=joint_cutoffs).filter("kept").select("row.*")

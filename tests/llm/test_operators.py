@@ -86,6 +86,32 @@ def test_a_cutoff_needs_proof(spark):
     assert kept.filter("stratum = '=en'").count() == 4000 and kept.filter("stratum = '=de'").count() == 120
 
 
+def test_joint_cutoffs_need_fewer_labels_and_keep_the_joint_risk(spark):
+    schema = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    rows, labels = [], []
+
+    def add(stratum, good, n, symbols=0, dup_lines=0):
+        for _ in range(n):
+            labels.append((len(rows), int(good), 0))
+            rows.append((len(rows), stratum, 100, 500, symbols, 10, dup_lines, 0, False))
+
+    for stratum, n in (("=de", 493), ("=fr", 498), ("=es", 312), ("=xx", 280)):
+        add(stratum, True, n)
+        add(stratum, False, 40, symbols=200)
+    # Each rule alone rejects 4 of 900 good documents, which holds; both together 8, which does not.
+    add("=en", True, 892)
+    add("=en", True, 4, symbols=200)
+    add("=en", True, 4, dup_lines=9)
+    add("=en", False, 40, symbols=200, dup_lines=9)
+    measured, labels = spark.createDataFrame(rows, schema), spark.createDataFrame(labels, LABELS)
+    assert all(r.cutoff_symbols is None for r in quality.cutoffs(measured, labels).collect())
+    found = {r.stratum: r for r in quality.joint_cutoffs(measured, labels).collect()}
+    assert {s: r.cutoff_symbols for s, r in found.items()} == {"=de": 0.01, "=fr": 0.01, "=es": 0.01, "=xx": None, "=en": 0.01}
+    assert found["=en"].cutoff_dup_lines is None and found["=en"].cutoff_repeats is None
+    chance = lambda k, n: sum(math.comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1))
+    assert chance(0, 312) <= 0.05 / 20 < chance(0, 280) and chance(4, 900) <= 0.05 / 20 / 7 < chance(8, 900)
+
+
 def test_quality_of_odd_rows(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 1, 1), (8, 0, None)], LABELS)
     rows = quality.quality(odd_documents, labels).collect()
