@@ -133,9 +133,56 @@ FROM s WHERE total <= {limit} QUALIFY row_number() OVER (PARTITION BY r ORDER BY
 """
 
 
+URLS = """
+WITH RECURSIVE rested AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html,
+    CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+),
+given AS (
+  SELECT r, page_id, html, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM rested
+),
+rules(suffix, start, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+),
+ruled AS (
+  SELECT r, page_id, host, path, suffix || start AS rule, verdict
+  FROM given LEFT JOIN rules ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(suffix || start) DESC NULLS LAST, length(suffix) DESC) = 1
+),
+named AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html,
+    '[ \\t\\n\\f\\r"''/](?:[hH][rR][eE][fF]|[sS][rR][cC])[ \\t\\n\\f\\r]*=[ \\t\\n\\f\\r]*["'']?(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"''<> \\t\\n\\f\\r]+)',
+    1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM given
+),
+links AS (SELECT src, dst, count(*) AS w FROM named WHERE src <> '' AND src <> dst GROUP BY ALL),
+both_ways AS (SELECT 'onward' AS way, src, dst, w FROM links UNION ALL SELECT 'back', dst, src, w FROM links),
+arcs AS (SELECT *, sum(w) OVER (PARTITION BY way, src) AS total FROM both_ways),
+seeds AS (
+  SELECT host, count(*) AS pages, count(*) FILTER (verdict = 'allow') AS allowed, count(*) FILTER (verdict = 'block') AS blocked
+  FROM ruled WHERE host <> '' GROUP BY host
+),
+flow(k, way, host, marked, pages) AS (
+  SELECT 0, 'onward', host, CAST(allowed * 1000000 AS HUGEINT), CAST(pages * 1000000 AS HUGEINT) FROM seeds
+  UNION ALL SELECT 0, 'back', host, CAST(blocked * 1000000 AS HUGEINT), CAST(pages * 1000000 AS HUGEINT) FROM seeds
+  UNION ALL
+  SELECT k + 1, flow.way, dst, CAST(sum(marked * w * 85 // (total * 100)) AS HUGEINT), CAST(sum(pages * w * 85 // (total * 100)) AS HUGEINT)
+  FROM flow JOIN arcs ON flow.way = arcs.way AND flow.host = arcs.src
+  WHERE k < 32 AND pages > 0 GROUP BY k, flow.way, dst
+),
+ranks AS (
+  SELECT host, sum(marked) FILTER (way = 'onward') AS t, sum(pages) FILTER (way = 'onward') AS t_all,
+    sum(marked) FILTER (way = 'back') AS d, sum(pages) FILTER (way = 'back') AS d_all FROM flow GROUP BY host
+)
+SELECT page_id, ruled.host, path, rule,
+  coalesce(verdict, CASE WHEN 100 * (d * t_all - t * d_all) >= 50 * (d_all * t_all) AND t_all > 0 AND d_all > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN ranks ON ruled.host = ranks.host
+"""
+
 ORACLES = {
     "op2_quality_rules": QUALITY,
     "op4_suffix_dedup": REPEATS,
     "op7_chat_format": CHAT,
     "op10_sharding": sharding(),
+    "op12_url_filter": URLS,
 }

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from subtide.llm import chat, kneser_ney, mixing, nn_descent, packing, pii, quality, sharding, simhash, suffix_dedup
+from subtide.llm import chat, kneser_ney, link_graph, mixing, nn_descent, packing, pii, quality, sharding, simhash, suffix_dedup
 from subtide.llm.common import documents
 from subtide.llm.oracles import ORACLES  # noqa: F401  (part of the registry)
 
 NEAREST = 20
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 _ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -98,6 +99,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return link_graph.filter_urls(pages, link_graph.rule_table(spark, URL_RULES))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
