@@ -179,10 +179,44 @@ SELECT page_id, ruled.host, path, rule,
 FROM ruled LEFT JOIN ranks ON ruled.host = ranks.host
 """
 
+DIVERGENCE = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+terms AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+sources AS (SELECT DISTINCT lang, source FROM d),
+groups AS (SELECT lang, source, coalesce(total, 0) AS total FROM sources LEFT JOIN sums USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + 1000000000 * CAST(coalesce(c.n, 0) + 5 AS HUGEINT) // (g.total + 5 * l.v) AS BIGINT) AS p,
+    CAST(1 + 1000000000 * CAST(k.n + 5 AS HUGEINT) // (l.total + 5 * l.v) AS BIGINT) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((
+    SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y USING (lang, term)
+    WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+),
+above AS (
+  SELECT lang, source, term AS item, p - q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank
+  FROM shares WHERE n > 0 AND p > q QUALIFY rank <= 50
+)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT), CAST(rank AS INTEGER) FROM above
+"""
+
 ORACLES = {
     "op2_quality_rules": QUALITY,
     "op4_suffix_dedup": REPEATS,
     "op7_chat_format": CHAT,
     "op10_sharding": sharding(),
+    "op11_source_divergence": DIVERGENCE,
     "op12_url_filter": URLS,
 }

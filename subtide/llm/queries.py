@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from subtide.llm import chat, kneser_ney, link_graph, mixing, nn_descent, packing, pii, quality, sharding, simhash, suffix_dedup
+from subtide.llm import chat, divergence, kneser_ney, link_graph, mixing, nn_descent, packing, pii, quality, sharding, simhash, suffix_dedup
 from subtide.llm.common import documents
 from subtide.llm.oracles import ORACLES  # noqa: F401  (part of the registry)
 
@@ -99,6 +99,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
 @query
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
