@@ -10,7 +10,8 @@ documents by rank: pieces of one length are numbered, and each slot of a pattern
 takes as many numbers as the pattern has packs.
 
 Ids equal those of the ``tokenizers`` library. The faster encoder of the same
-vocabulary is used, except for texts with a special token's string.
+vocabulary is used, except for texts with a special token's string, or with a run of
+white space of ``LONG_RUN`` characters, which that encoder's pattern can't take.
 
 Edge cases: a null or empty text is one piece with the end id only. Repeated rows
 are packed once each. Ties in length are numbered by a hash of the id, then start.
@@ -23,6 +24,7 @@ import base64
 import heapq
 import json
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -42,10 +44,20 @@ END = 1
 SLICES = 64
 SLICE = 500  # documents encoded at a time
 VOCABULARY = "byte_bpe_50k"
+LONG_RUN = 100_000
+_RUNS = re.compile(r"\s{100,}")
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[list[str]], list[list[int]]]:
-    """Texts to ids, as ``tokenizers`` gives them without special tokens added."""
+def has_long_run(text: str) -> bool:
+    """Whether white space runs on for ``LONG_RUN`` characters; in time proportional to the text."""
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _RUNS.finditer(text))
+
+
+def encoder(vocabulary: str = VOCABULARY, plain_specials: bool = False) -> Callable[[list[str]], list[list[int]]]:
+    """Texts to ids, as ``tokenizers`` gives them without special tokens added.
+
+    With ``plain_specials`` the strings of special tokens in a text are ordinary text.
+    """
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -53,15 +65,20 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[list[str]], list[list[int
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     path = public_tokenizers.path(f"{vocabulary}.json")
     with open(path, encoding="utf-8") as file:
-        special = [t["content"] for t in json.load(file)["added_tokens"]]
+        special = [] if plain_specials else [t["content"] for t in json.load(file)["added_tokens"]]
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    plain = lru_cache(lambda: Tokenizer.from_file(path))  # few texts need it
+
+    @lru_cache
+    def full() -> Tokenizer:  # few texts need it
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = plain_specials
+        return tokenizer
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [
-            plain().encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t)
+            full().encode(t, add_special_tokens=False).ids if has_long_run(t) or any(s in t for s in special) else fast.encode_ordinary(t)
             for t in texts
         ]
 

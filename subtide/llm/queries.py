@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from subtide.llm import chat, divergence, kneser_ney, link_graph, mixing, nn_descent, packing, pii, quality, sharding, simhash, suffix_dedup
+from subtide.llm import alignment, chat, divergence, kneser_ney, link_graph, mixing, nn_descent, packing, pii, quality, sharding, simhash, suffix_dedup
 from subtide.llm.common import documents
 from subtide.llm.oracles import ORACLES  # noqa: F401  (part of the registry)
 
@@ -110,6 +110,11 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_graph.filter_urls(pages, link_graph.rule_table(spark, URL_RULES))
 
 
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(documents(spark, sf_dir))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -24,6 +24,8 @@ def odd_documents(spark):
         (10, "Ünï cödé 😀 " * 40, "fr", "", 5),
         (11, "mail a@b.co now " * 12, "en", "a", 6),
         (12, "one two three", "en", "a", 7),
+        (13, " " * 1_200_000 + "end", "en", "b", 1_200_003),
+        (14, "\n\t" * 300_000, None, "a", 600_000),
     ]
     return spark.createDataFrame([(*r, "x", None, "y", "z") for r in rows], SCHEMA).repartition(3)
 
