@@ -22,6 +22,7 @@ result. Extra columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -189,18 +190,21 @@ def pairs(groups: DataFrame, rows: DataFrame) -> DataFrame:
 def top_terms(rows: DataFrame, strings: DataFrame, top: int = TOP) -> DataFrame:
     """``group_id``, ``item``, ``value`` and ``rank`` of the terms that a group has more of than its language.
 
-    Leading values are found in slices by digest, then named, then ranked with ties
-    by name, so no task has all terms of a group.
+    Slices by digest give their leading values, those the lowest value of the group's
+    first ``top``. What reaches it is named, and ranked by name within the slices and
+    then as a whole, so no task has all terms of a group, however many are tied.
     """
-    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = math.ceil(math.sqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     more = rows.filter("p > q").select("group_id", "digest", "split", F.expr("p - q").alias("value"))
     sliced = more.withColumn("slice", F.pmod(F.xxhash64("digest", "split"), F.lit(slices)))
-    of_slice = Window.partitionBy("group_id", "slice").orderBy(F.desc("value"))
-    leading = sliced.withColumn("at", F.rank().over(of_slice)).filter(F.col("at") <= top)
-    named = leading.join(strings, "digest", "left").withColumn("item", F.expr("if(split = '', term, split)"))
-    by_name = Window.partitionBy("group_id", "slice").orderBy(F.desc("value"), "item")
+    of_slice, of_group = (Window.partitionBy(*keys).orderBy(F.desc("value")) for keys in (["group_id", "slice"], ["group_id"]))
+    leading = materialize(sliced.withColumn("at", F.rank().over(of_slice)).filter(F.col("at") <= top).drop("at"), "terms-leading")
+    first = leading.select("group_id", "value", F.row_number().over(of_group).alias("at")).filter(F.col("at") <= top)
+    least = first.groupBy("group_id").agg(F.min("value").alias("least"))
+    reach = lookup_join(leading, least, ["group_id"], "digest").filter("value >= least")
+    named = reach.join(strings, "digest", "left").withColumn("item", F.expr("if(split = '', term, split)"))
+    by_name, whole = (Window.partitionBy(*keys).orderBy(F.desc("value"), "item") for keys in (["group_id", "slice"], ["group_id"]))
     few = named.withColumn("at", F.row_number().over(by_name)).filter(F.col("at") <= top)
-    whole = Window.partitionBy("group_id").orderBy(F.desc("value"), "item")
     return few.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= top).select("group_id", "item", "value", "rank")
 
 
