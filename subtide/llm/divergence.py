@@ -6,7 +6,9 @@ in a column of its own, the string. The shuffle of counts reads the fixed-width
 only. A second aggregate has the smallest and largest string of each digest, one row a
 task and term; it is looked at for the digests that enough documents have. Where the
 two strings differ, the digest stands for several terms: its rows are counted again by
-string. Strings come back in the end for the terms that are put out.
+string. Strings come back in the end for the terms that are put out. Up to ``BROADCAST``
+kept terms, once counted, are broadcast to what they are looked up in; more are joined
+by a shuffle.
 
 Sources of a language are compared over all kept terms. The terms are dealt to slices
 of about ``TERMS``, the sources to blocks of about ``BLOCK``; a task has the numbers of
@@ -40,7 +42,8 @@ MIN_DOCUMENTS = 30
 TOP = 50
 SCALE = 10**9
 PRIOR = 5
-ENTRIES = 200_000
+ENTRIES = 400_000
+BROADCAST = 1_000_000  # kept terms, of some 40 bytes
 TERMS = 512
 BLOCK = 64
 ROWS = 50_000  # written at a time
@@ -125,9 +128,12 @@ def counted(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, bits: int = 64) -> t
         return found.filter(F.col("docs") >= min_docs).drop("docs")
 
     # A digest of several terms has as many documents as each of them at least.
-    asked = enough(counts).select("digest").distinct()
-    ends = stored.filter("first").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
-    strings = materialize(ends.join(asked, "digest"), "term-strings")
+    asked = materialize(enough(counts).select("digest").distinct(), "term-digests")
+    few = asked.count() <= BROADCAST
+    first = stored.filter("first").select("digest", "term")
+    first = first.join(F.broadcast(asked), "digest", "left_semi") if few else first
+    ends = first.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    strings = materialize(ends if few else ends.join(asked, "digest", "left_semi"), "term-strings")
     several = strings.filter("term <> last").select("digest")
     if not several.isEmpty():
         again = stored.join(several, "digest").groupBy("lang", "source", "digest", "term").agg(*sums)
@@ -213,7 +219,8 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, top: int =
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     given = docs.select(empty("lang"), empty("source"), empty("text"))
     counts, kept, strings = counted(given, min_docs, bits)
-    shared = counts.drop("docs").join(kept, ["lang", "digest", "split"])
+    kept_or_broadcast = F.broadcast(kept) if kept.count() <= BROADCAST else kept
+    shared = counts.drop("docs").join(kept_or_broadcast, ["lang", "digest", "split"])
     shared = materialize(shared, "terms-shared")
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     sources = given.select("lang", "source").distinct()

@@ -86,6 +86,12 @@ def test_small_blocks_slices_and_flushes(made, monkeypatch):
     assert found(made[1], min_docs=3) == direct(made[0], 3)
 
 
+def test_more_terms_than_are_broadcast(made, monkeypatch):
+    monkeypatch.setattr(divergence, "BROADCAST", 5)
+    assert found(made[1], min_docs=3) == direct(made[0], 3)
+    assert found(made[1], min_docs=3, bits=4) == direct(made[0], 3)
+
+
 def test_odd_rows(odd_documents, no_documents):
     for least in (1, 2, 30):
         assert found(odd_documents, min_docs=least) == direct(texts(odd_documents), least)
