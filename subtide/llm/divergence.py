@@ -1,6 +1,7 @@
 """How far the word use of sources differs, with terms counted by digest.
 
-Tasks count the terms of their texts by language, source and term. What they hold is
+Groups of language and source are numbered first. Tasks count the terms of their texts
+by group and term. What they hold is
 written when it reaches ``ENTRIES`` terms, as rows of a 64-bit digest, the counts and,
 in a column of its own, the string. The shuffle of counts reads the fixed-width columns
 only. A second aggregate has the smallest and largest string of each digest, one row a
@@ -50,7 +51,7 @@ ROWS = 50_000  # written at a time
 # A to Z in lower case; what is neither a letter nor beyond ASCII parts terms.
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b > 0x7F else 32 for b in range(256))
 
-_COUNTS = "lang string, source string, digest long, n long, docs long, term string, first boolean"
+_COUNTS = "lang_id long, group_id long, digest long, n long, docs long, term string, first boolean"
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -63,7 +64,10 @@ def _digests(found: list[bytes], bits: int) -> np.ndarray:
 
 
 def count_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """Counts by task, language, source and term; ``first`` marks one row a term of those written together."""
+    """Counts by task, group and term; ``first`` marks one row a term of those written together.
+
+    ``docs`` has the columns lang_id, group_id and text.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict = defaultdict(Counter)
@@ -78,15 +82,14 @@ def count_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
                     with_term = docs_of[key]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.repeat(key[0], len(part)),
-                            pa.repeat(key[1], len(part)),
+                            *(pa.array(np.full(len(part), k, np.int64)) for k in key),
                             pa.array(_digests(part, bits)),
                             pa.array(numbers[at : at + ROWS], pa.int64()),
                             pa.array([with_term[t] for t in part], pa.int64()),
                             pa.array(part, pa.binary()).cast(pa.string()),
                             pa.array([t not in seen for t in part]),
                         ],
-                        names=["lang", "source", "digest", "n", "docs", "term", "first"],
+                        names=["lang_id", "group_id", "digest", "n", "docs", "term", "first"],
                     )
                     seen.update(part)
             n.clear()
@@ -95,7 +98,7 @@ def count_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
         entries = 0
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            keys = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+            keys = zip(batch.column("lang_id").to_pylist(), batch.column("group_id").to_pylist())
             for text, key in zip(texts, keys):
                 found = terms(text.as_py())
                 counts = n[key]
@@ -111,20 +114,38 @@ def count_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
     return docs.mapInArrow(of, _COUNTS)
 
 
+def numbered_groups(docs: DataFrame) -> DataFrame:
+    """``group_id``, ``lang``, ``source``, ``lang_id`` and ``n_sources`` of the groups that occur, stored."""
+    given = materialize(docs.select("lang", "source").distinct().withColumn("group_id", F.monotonically_increasing_id()), "term-sources")
+    of_lang = given.groupBy("lang").agg(F.min("group_id").alias("lang_id"), F.count("*").alias("n_sources"))
+    return materialize(given.join(of_lang, "lang"), "term-sources")
+
+
+def with_numbers(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``lang_id``, ``group_id`` and ``text`` of each row."""
+    numbers = groups.select("lang", "source", "lang_id", "group_id")
+    if groups.count() <= BROADCAST:
+        found = docs.join(F.broadcast(numbers), ["lang", "source"])
+    else:
+        found = lookup_join(docs.withColumn("n", F.monotonically_increasing_id()), numbers, ["lang", "source"], "n")
+    return found.select("lang_id", "group_id", "text")
+
+
 def counted(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts (lang, source, digest, split, n, docs), kept terms and the strings of their digests.
+    """Counts (lang_id, group_id, digest, split, n, docs), kept terms and the strings of their digests.
 
-    ``split`` is the string where a digest stands for several terms, else empty. Kept
-    terms have lang, digest, split, ``lang_n`` and a number ``term_id``; strings have
-    digest and ``term``, one row a digest that is not split.
+    ``docs`` has the columns lang_id, group_id and text. ``split`` is the string where a
+    digest stands for several terms, else empty. Kept terms have lang_id, digest, split,
+    ``lang_n`` and a number ``term_id``; strings have digest and ``term``, one row a
+    digest that is not split.
     """
     stored = materialize(count_terms(docs, bits), "terms")
     sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
-    by_digest = stored.groupBy("lang", "source", "digest").agg(*sums).withColumn("split", F.lit(""))
+    by_digest = stored.groupBy("lang_id", "group_id", "digest").agg(*sums).withColumn("split", F.lit(""))
     counts = materialize(by_digest, "term-counts")
 
     def enough(given: DataFrame) -> DataFrame:
-        found = given.groupBy("lang", "digest", "split").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
+        found = given.groupBy("lang_id", "digest", "split").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
         return found.filter(F.col("docs") >= min_docs).drop("docs")
 
     # A digest of several terms has as many documents as each of them at least.
@@ -136,8 +157,8 @@ def counted(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, bits: int = 64) -> t
     strings = materialize(ends if few else ends.join(asked, "digest", "left_semi"), "term-strings")
     several = strings.filter("term <> last").select("digest")
     if not several.isEmpty():
-        again = stored.join(several, "digest").groupBy("lang", "source", "digest", "term").agg(*sums)
-        again = again.select("lang", "source", "digest", "n", "docs", F.col("term").alias("split"))
+        again = stored.join(several, "digest").groupBy("lang_id", "group_id", "digest", "term").agg(*sums)
+        again = again.select("lang_id", "group_id", "digest", "n", "docs", F.col("term").alias("split"))
         counts = materialize(counts.join(several, "digest", "left_anti").unionByName(again), "term-counts")
     kept = materialize(enough(counts).withColumn("term_id", F.monotonically_increasing_id()), "terms-kept")
     return counts, kept, strings.filter("term = last").select("digest", "term")
@@ -171,18 +192,18 @@ def _compared(part: pd.DataFrame) -> pd.DataFrame:
 def pairs(groups: DataFrame, rows: DataFrame) -> DataFrame:
     """``a``, ``b`` and ``value`` for all ordered pairs of groups of one language.
 
-    ``groups`` has group_id, lang, v, p0, block, blocks and slices; ``rows`` the terms
+    ``groups`` has group_id, lang_id, v, p0, block, blocks and slices; ``rows`` the terms
     that a group has: the same columns, term_id and p.
     """
-    base = ["lang", "group_id", "block", "blocks", "p0"]
+    base = ["lang_id", "group_id", "block", "blocks", "p0"]
     none = F.lit(None).cast("long")
     everywhere = groups.select(*base, F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), none.alias("term_id"), none.alias("p"))
     of_terms = rows.select(*base, F.pmod(F.xxhash64("term_id"), "slices").alias("slice"), "term_id", "p")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     both = everywhere.unionByName(of_terms).withColumn("other", other)
     both = both.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    given = both.select("lang", "lo", "hi", "slice", "group_id", "block", "p0", "term_id", "p")
-    parts = given.groupBy("lang", "lo", "hi", "slice").applyInPandas(_compared, "a long, b long, value long")
+    given = both.select("lang_id", "lo", "hi", "slice", "group_id", "block", "p0", "term_id", "p")
+    parts = given.groupBy("lang_id", "lo", "hi", "slice").applyInPandas(_compared, "a long, b long, value long")
     sums = parts.groupBy("a", "b").agg(F.sum("value").alias("value"))
     of = groups.select("group_id", "v", "p0")
     left = of.select(F.col("group_id").alias("a"), "v", F.col("p0").alias("pa"))
@@ -218,25 +239,22 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, top: int =
     """``lang``, ``source``, ``part``, ``item``, ``value`` and ``rank``: other sources and leading terms."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     given = docs.select(empty("lang"), empty("source"), empty("text"))
-    counts, kept, strings = counted(given, min_docs, bits)
+    numbered = numbered_groups(given)
+    counts, kept, strings = counted(with_numbers(given, numbered), min_docs, bits)
     kept_or_broadcast = F.broadcast(kept) if kept.count() <= BROADCAST else kept
-    shared = counts.drop("docs").join(kept_or_broadcast, ["lang", "digest", "split"])
-    shared = materialize(shared, "terms-shared")
-    of_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    sources = given.select("lang", "source").distinct()
-    n_sources = sources.groupBy("lang").agg(F.count("*").alias("n_sources"))
-    totals = shared.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = sources.join(totals, ["lang", "source"], "left").join(n_sources, "lang").join(of_lang, "lang", "left")
-    groups = groups.na.fill(0, ["total", "v", "lang_total"]).withColumns(
+    shared = materialize(counts.drop("docs").join(kept_or_broadcast, ["lang_id", "digest", "split"]), "terms-shared")
+    of_lang = kept.groupBy("lang_id").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    totals = shared.groupBy("group_id").agg(F.sum("n").alias("total"))
+    groups = numbered.join(totals, "group_id", "left").join(of_lang, "lang_id", "left").na.fill(0, ["total", "v", "lang_total"])
+    groups = groups.withColumns(
         {
             "p0": _share("0", "total", "v"),
             "slices": F.expr(f"CAST(greatest(1, ceil(v / {TERMS})) AS BIGINT)"),
             "blocks": F.expr(f"CAST(ceil(n_sources / {BLOCK}) AS BIGINT)"),
-            "group_id": F.monotonically_increasing_id(),
         }
     )
     groups = materialize(groups.withColumn("block", F.pmod(F.xxhash64("source"), "blocks")), "term-groups")
-    rows = lookup_join(shared, groups, ["lang", "source"], "digest")
+    rows = lookup_join(shared.drop("lang_id"), groups, ["group_id"], "digest")
     rows = rows.withColumns({"p": _share("n", "total", "v"), "q": _share("lang_n", "lang_total", "v")})
     found = pairs(groups, rows)
     name = groups.select("group_id", "lang", "source")
