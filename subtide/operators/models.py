@@ -4,27 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subtide.functions import u01
 from subtide.operators.clv import COST_COLUMNS
 from subtide.operators.encode import dummy_encode, feature_columns, with_split
+from subtide.operators.ensembles import labels_by_depth, node_tables
 from subtide.operators.metrics import CELLS, confusion_matrix, r2
 from subtide.sources import materialize
 
+FOLD_KEYS = 100_000
 _IO = {"featuresCol": "features", "labelCol": "churn"}
 # Tells the fits that the label has two classes, which they would otherwise find
 # out by one more pass over the training rows.
@@ -35,12 +37,14 @@ _TWO_CLASSES = {"ml_attr": {"name": "churn", "type": "nominal", "vals": ["0", "1
 class ModelData:
     """The stored modelling table, its stored rows by split, the feature names.
 
-    The rows are (subid, churn, features, cost columns, is_train).
+    The rows are (subid, churn, features, cost columns, is_train). ``encoded`` has a
+    column for each feature in place of the vector; it is computed when it is read.
     """
 
     table: DataFrame
     rows: DataFrame
     features: list[str]
+    encoded: DataFrame
 
     @property
     def train(self) -> DataFrame:
@@ -61,11 +65,11 @@ def prepare(features: DataFrame) -> ModelData:
     saved = materialize(features, "features")
     encoded = dummy_encode(saved)
     names = feature_columns(encoded)
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(encoded)
-    label = F.col("churn").cast("double").alias("churn")
-    kept = with_split(vectors).select("subid", label, "features", *COST_COLUMNS, "is_train")
+    marked = with_split(encoded).withColumn("churn", F.col("churn").cast("double"))
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(marked)
+    kept = vectors.select("subid", "churn", "features", *COST_COLUMNS, "is_train")
     rows = materialize(kept, "model-rows", ["is_train"])
-    return ModelData(saved, rows.withMetadata("churn", _TWO_CLASSES), names)
+    return ModelData(saved, rows.withMetadata("churn", _TWO_CLASSES), names, marked)
 
 
 def _subset(features: int, available: int) -> str:
@@ -119,14 +123,16 @@ def gradient_boosting(n_features: int, seed: int = 5) -> Estimator:
 def logistic_regression(n_rows: int, c: float = 100.0) -> Estimator:
     """L2 logistic regression with inverse penalty ``c`` on unscaled features.
 
-    Spark's loss is a mean over rows, so the penalty is 1 / (c * rows).
+    Spark's loss is a mean over rows, so the penalty is 1 / (c * rows). The fit goes
+    on until the loss settles to ten digits; see :func:`optimum`.
     """
     return LogisticRegression(
         **_IO,
         regParam=1 / (c * max(n_rows, 1)),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=100,
+        maxIter=500,
+        tol=1e-10,
     )
 
 
@@ -207,6 +213,28 @@ def coefficients(spark: SparkSession, model: Model, names: Sequence[str]) -> Dat
     return spark.createDataFrame(list(zip(names, values)), "feature string, coefficient double")
 
 
+def optimum(model: Model, rows: DataFrame, names: Sequence[str], c: float | None = None) -> DataFrame:
+    """How near a linear or logistic fit is to the optimum of its loss, by feature.
+
+    One aggregate over the training rows: ``rows``, ``positives``, the loss's ``slope``
+    by the feature's weight, and ``size``, the sum of the amounts that cancel out in it.
+    ``c`` is the inverse L2 penalty, which the intercept does not have.
+    """
+    logistic = "probability" in (f.name for f in model.transform(rows.limit(0)).schema)
+    fitted = vector_to_array("probability")[1] if logistic else F.col("prediction")
+    row = F.array_append(vector_to_array("features"), F.lit(1.0))
+    cells = model.transform(rows).select("churn", (fitted - F.col("churn")).alias("gap"), F.posexplode(row).alias("at", "x"))
+    pull = F.col("x") * F.col("gap")
+    sums = cells.groupBy("at").agg(
+        F.count("*").alias("rows"), F.sum("churn").cast("long").alias("positives"), F.sum(pull).alias("slope"), F.sum(F.abs(pull)).alias("size")
+    )
+    weights = [0.0 if c is None else float(w) / c for w in model.coefficients] + [0.0]
+    given = rows.sparkSession.createDataFrame(list(zip(range(len(weights)), [*names, "intercept"], weights)), "at int, feature string, penalty double")
+    return given.join(sums, "at").select(
+        "feature", "rows", "positives", (F.col("slope") + F.col("penalty")).alias("slope"), (F.col("size") + F.abs("penalty")).alias("size")
+    )
+
+
 @dataclass(frozen=True)
 class GridResult:
     """``table`` (max_depth, max_features, accuracy, is_best) and the fitted best ``model``."""
@@ -215,12 +243,13 @@ class GridResult:
     model: Model
 
 
-def with_folds(rows: DataFrame, folds: int, key: str = "subid", slices: int = 64) -> DataFrame:
+def with_folds(rows: DataFrame, folds: int, key: str = "subid") -> DataFrame:
     """Add ``fold``, dealt in turn to the keys of each label, in order of a draw from the key.
 
-    A label's keys are numbered in ``slices`` tasks, so folds differ by at most that
-    many keys. Rows of one key and label share a fold.
+    A label's keys are numbered in slices of about ``FOLD_KEYS``, one task each, so
+    folds differ by at most one key a slice. Rows of one key and label share a fold.
     """
+    slices = 1 + rows.count() // FOLD_KEYS
     order = Window.partitionBy("churn", F.pmod(F.xxhash64(key), F.lit(slices))).orderBy(u01(key, "fold"), key)
     return rows.withColumn("fold", F.pmod(F.dense_rank().over(order), F.lit(folds)).cast("int"))
 
@@ -236,36 +265,40 @@ def grid_search(
 ) -> GridResult:
     """Cross-validated accuracy of each (max_depth, max_features), and the best setting's model.
 
-    Folds are stratified by label. They are cached by the validator, and
-    ``parallelism`` settings are fitted at a time. The best setting is fitted on
-    all training rows.
+    Folds are stratified by label and stored. A fold and number of features has one fit,
+    of the greatest depth: its nodes keep their label counts, so the smaller depths are
+    cuts of its trees, and one aggregate over the rows left out scores all of them.
+    ``parallelism`` fits run at a time. The best setting is fitted on all training rows.
     """
     width = len(data.features)
-    grid = (
-        ParamGridBuilder()
-        .addGrid(estimator.maxDepth, list(depths))
-        .addGrid(estimator.featureSubsetStrategy, [_subset(f, width) for f in features])
-        .build()
-    )
-    validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(labelCol="churn", metricName="accuracy"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    fitted = validator.fit(with_folds(data.train, folds, key))
-    scores = [float(value) for value in fitted.avgMetrics]
-    best = scores.index(max(scores))
-    rows = [
-        (setting[estimator.maxDepth], setting[estimator.featureSubsetStrategy], scores[i], i == best)
-        for i, setting in enumerate(grid)
-    ]
-    table = data.table.sparkSession.createDataFrame(
-        rows, "max_depth int, max_features string, accuracy double, is_best boolean"
-    )
-    return GridResult(table, fitted.bestModel)
+    depths, tried = list(depths), [_subset(f, width) for f in features]
+    stored = materialize(with_folds(data.train, folds, key), "folds", ["fold"]).withMetadata("churn", _TWO_CLASSES)
+    cells = [f"x[{i}]" for i in range(width)]
+
+    def shares_right(job: tuple[str, int]) -> tuple[float, ...] | None:
+        subset, fold = job
+        deepest = estimator.copy({estimator.maxDepth: max(depths), estimator.featureSubsetStrategy: subset})
+        trees = node_tables(deepest.fit(stored.where(F.col("fold") != fold)))
+        held = stored.where(F.col("fold") == fold).select("churn", vector_to_array("features").alias("x"))
+        labels = labels_by_depth(trees, cells, depths)
+        right = [F.avg((labels[d] == F.col("churn")).cast("double")) for d in depths]
+        found = held.agg(*right).first()
+        return None if found[0] is None else tuple(found)
+
+    jobs = [(subset, fold) for subset in tried for fold in range(folds)]
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        results = pool.map(inheritable_thread_target(data.train.sparkSession)(shares_right), jobs, chunksize=1)
+    scores = {}
+    for at, subset in enumerate(tried):
+        known = [r for r in results[at * folds : (at + 1) * folds] if r is not None]
+        for k, depth in enumerate(depths):
+            scores[depth, at] = sum(r[k] for r in known) / len(known)
+    settings = [(depth, at) for depth in depths for at in range(len(tried))]
+    best = max(settings, key=scores.__getitem__)  # the first of equal ones
+    rows = [(depth, tried[at], scores[depth, at], (depth, at) == best) for depth, at in settings]
+    table = data.table.sparkSession.createDataFrame(rows, "max_depth int, max_features string, accuracy double, is_best boolean")
+    chosen = {estimator.maxDepth: best[0], estimator.featureSubsetStrategy: tried[best[1]]}
+    return GridResult(table, estimator.copy(chosen).fit(data.train))
 
 
 def grid_tree(data: ModelData, folds: int = 10, parallelism: int = 16) -> GridResult:

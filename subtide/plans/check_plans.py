@@ -6,12 +6,15 @@ keys and labels by split, names of features, what an optimum or a leaf must fulf
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subtide.operators import clv, metrics, models, profile
+from subtide.operators import clv, ensembles, metrics, models, profile
 from subtide.operators.churn import MEASURES as OWN_MEASURES
 from subtide.plans.channel_plans import technical_cac
 from subtide.plans.churn_plans import features
@@ -65,6 +68,48 @@ def ols_optimum(t: Inputs) -> DataFrame:
     return names.join(sums, "at").select("feature", is_zero.alias("is_optimal"))
 
 
+@query(
+    "logistic_optimum",
+    f"SELECT unnest({['intercept', *_FEATURES]!r}) AS feature, rows, positives, true AS is_optimal FROM "
+    f"(SELECT count(*) AS rows, CAST(sum(churn) AS BIGINT) AS positives FROM (SELECT churn, {_SPLIT} AS split FROM features) WHERE split = 'train')",
+)
+def logistic_optimum(t: Inputs) -> DataFrame:
+    """At the optimum of the penalised likelihood its slope by every weight is zero."""
+    data = models.prepare(features(t))
+    found = models.optimum(models.fit(data, "logistic"), data.train, data.features, c=100.0)
+    is_zero = F.abs("slope") <= F.lit(1e-6) * F.col("size")
+    return found.select("feature", "rows", "positives", is_zero.alias("is_optimal"))
+
+
+@query(
+    "compiled_ensembles",
+    f"SELECT model, split, count(*) AS rows, CAST(sum(churn) AS BIGINT) AS positives, true AS is_same_score, true AS is_same_label "
+    f"FROM (SELECT churn, {_SPLIT} AS split FROM features), (SELECT unnest(['tree', 'forest', 'gbt']) AS model) GROUP BY model, split",
+)
+def compiled_ensembles(t: Inputs) -> DataFrame:
+    """Trees as conditions on plain columns score every row as the fitted ensemble does."""
+    data = models.prepare(features(t))
+    vectors = VectorAssembler(inputCols=data.features, outputCol="features").transform(data.encoded)
+
+    def compared(kind: str) -> DataFrame:
+        model = models.fit(data, kind)
+        probability, label = ensembles.compiled_score(model, ensembles.quoted_names(data.features))
+        both = model.transform(vectors).select(
+            "is_train",
+            "churn",
+            (F.abs(probability - vector_to_array("probability")[1]) < 1e-9).alias("score"),
+            (label == F.col("prediction")).alias("label"),
+        )
+        return both.groupBy(F.expr("if(is_train, 'train', 'test')").alias("split")).agg(
+            F.count("*").alias("rows"),
+            F.sum("churn").cast("long").alias("positives"),
+            F.every("score").alias("is_same_score"),
+            F.every("label").alias("is_same_label"),
+        ).withColumn("model", F.lit(kind))
+
+    return reduce(DataFrame.unionByName, map(compared, ("tree", "forest", "gbt")))
+
+
 @query("tree_importance_names", _named(_FEATURES, "is_share"))
 def tree_importance_names(t: Inputs) -> DataFrame:
     """Importances have the features' names, lie between 0 and 1 and sum to 1."""
@@ -159,3 +204,27 @@ def clv_of_tree_score_rows(t: Inputs) -> DataFrame:
 def pearson_p_rows(t: Inputs) -> DataFrame:
     found = profile.pearson_pairs(t.engagement, OWN_MEASURES, p_values=True)
     return found.select("col_a", "col_b", "n", F.col("p_value").between(0, 1).alias("is_probability"))
+
+
+_COMPLETE = " AND ".join(f"{m} IS NOT NULL" for m in MEASURES)
+
+
+def _p_by_series() -> str:
+    """The finite series of Student's t for whole degrees of freedom, summed term by term."""
+    rows = f"(SELECT * FROM engagement WHERE {_COMPLETE})"
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) AS n, corr({a}, {b}) AS r FROM {rows}" for a in MEASURES for b in MEASURES if a != b
+    )
+    known = f"SELECT col_a, col_b, n, n - 2 AS df, abs(r) AS y, ln(1 - r * r) / 2 AS lx FROM ({pairs})"
+    even = "exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2 + 2 * k * lx)"
+    odd = "exp(lgamma(k + 1) + ln(pi()) / 2 - ln(2) - lgamma(k + 1.5) + (2 * k + 1) * lx)"
+    sums = f"SELECT col_a, col_b, n, df, y, sum(CASE WHEN df % 2 = 0 THEN {even} ELSE {odd} END) AS total FROM ({known}), unnest(range(0, df // 2)) AS u(k) GROUP BY ALL"
+    inside = "CASE WHEN df % 2 = 0 THEN y * total ELSE 2 / pi() * (asin(y) + y * total) END"
+    return f"SELECT col_a, col_b, n, round(greatest(0, 1 - {inside}), 8) AS p FROM ({sums})"
+
+
+@query("pearson_p", _p_by_series())
+def pearson_p(t: Inputs) -> DataFrame:
+    """The p-value of each pair, to eight digits."""
+    found = profile.pearson_pairs(t.engagement, OWN_MEASURES, p_values=True)
+    return found.select("col_a", "col_b", "n", (F.round("p_value", 8) + F.lit(0.0)).alias("p"))

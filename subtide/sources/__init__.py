@@ -9,11 +9,13 @@ from subtide.sources.contracts import (
 )
 from subtide.sources.tables import (
     checkpoint_table,
+    delete_path,
     load_spend_csv,
     load_table,
     materialize,
     release,
     release_all,
+    scratch_path,
     shared_folder,
     write_csv,
 )
@@ -24,12 +26,14 @@ __all__ = [
     "ENGAGEMENT",
     "SUBSCRIBERS",
     "checkpoint_table",
+    "delete_path",
     "load_spend_csv",
     "load_table",
     "materialize",
     "release",
     "release_all",
     "require",
+    "scratch_path",
     "shared_folder",
     "write_csv",
 ]

@@ -73,10 +73,22 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     The table stays until :func:`release` is called on what comes back, or
     :func:`release_all` for the whole session.
     """
-    path = f"{shared_folder(df.sparkSession)}/subtide/{name}-{uuid.uuid4().hex}"
-    stored = checkpoint_table(df, path, partition_by)
-    _STORED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    return stored
+    return checkpoint_table(df, scratch_path(df.sparkSession, name), partition_by)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted by :func:`delete_path` or with all stored tables."""
+    path = f"{shared_folder(spark)}/subtide/{name}-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path of :func:`scratch_path`."""
+    _delete(spark, path)
+    own = _STORED.get(spark.sparkContext.applicationId, [])
+    if path in own:
+        own.remove(path)
 
 
 def release(stored: DataFrame) -> None:

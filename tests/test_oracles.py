@@ -21,7 +21,7 @@ TYPES = {
     "date": "DATE",
 }
 # The statement names the levels or months that occur at the scale it is checked at.
-LARGER_SAMPLE = {"dummy_encode", "pivot_mean", "ols_optimum", "tree_importance_names"}
+LARGER_SAMPLE = {"dummy_encode", "pivot_mean", "ols_optimum", "logistic_optimum", "tree_importance_names"}
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from subtide.operators import profile
 from tests.conftest import rows
@@ -84,29 +85,48 @@ def test_pearson_against_numpy(spark):
                 assert abs(row.r) <= 1 and 0 <= row.p_value <= 1
 
 
+def student_two_sided(spark, t, df):
+    """P(|T| > t), by way of the r that has this t."""
+    row = spark.range(1).select(profile.two_sided_p(F.lit(t / math.sqrt(df + t * t)), F.lit(int(df) + 2)).alias("p"))
+    return row.first().p
+
+
 # Table values of Student's t: (t, degrees of freedom, two-sided p).
 @pytest.mark.parametrize(
     "t, df, p",
     [(12.7062, 1, 0.05), (2.2281, 10, 0.05), (3.1693, 10, 0.01), (1.9840, 100, 0.05), (1.9600, 10**9, 0.05)],
 )
-def test_student_table(t, df, p):
-    assert profile._student_two_sided(t, df) == pytest.approx(p, rel=2e-4)
+def test_student_table(spark, t, df, p):
+    assert student_two_sided(spark, t, df) == pytest.approx(p, rel=2e-4)
 
 
 @pytest.mark.parametrize("t", [0.1, 0.9, 2.0, 5.0, 9.0])
-def test_student_by_integration(t):
+def test_student_by_integration(spark, t):
     df, grid = 7, np.linspace(0, t, 200_001)
     density = (1 + grid**2 / df) ** (-(df + 1) / 2)
     scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
     inside = 2 * scale * float(np.trapezoid(density, grid))
-    assert profile._student_two_sided(t, df) == pytest.approx(1 - inside, abs=1e-9)
+    assert student_two_sided(spark, t, df) == pytest.approx(1 - inside, abs=1e-9)
 
 
-def test_student_forms_meet():
-    below, above = (profile._student_two_sided(3.0, df) for df in (1e5, 1e5 + 1))
+def test_student_is_smooth_in_its_degrees_of_freedom(spark):
+    below, above = (student_two_sided(spark, 3.0, df) for df in (1e5, 1e5 + 1))
     assert below == pytest.approx(above, rel=1e-7)
 
 
+def test_student_with_one_and_two_degrees_of_freedom(spark):
+    """Closed forms, also far out in the tail."""
+    for t in (0.0, 1e-3, 0.3, 1.0, 7.0, 1e3, 1e5):
+        assert student_two_sided(spark, t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t) if t < 10 else 2 / math.pi * math.atan(1 / t), rel=1e-6)
+        tail = 2 / ((2 + t * t) * (1 + t / math.sqrt(2 + t * t)))
+        assert student_two_sided(spark, t, 2) == pytest.approx(tail, rel=1e-6)
+
+
+def test_student_tends_to_the_normal_tail(spark):
+    for t in (0.5, 3.0, 8.0):
+        assert student_two_sided(spark, t, 10**12) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-8)
+
+
 def test_p_value_of_perfect_and_short_columns(spark):
     line = spark.createDataFrame([(float(i), 2.0 * i) for i in range(10)], "a double, b double")
     assert profile.pearson_pairs(line, "ab", p_values=True).first().p_value == pytest.approx(0, abs=1e-12)
