@@ -22,7 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from subtide.plans import BUILDERS  # noqa: E402
 from subtide.plans.inputs import Inputs  # noqa: E402
-from subtide.sources import release_all  # noqa: E402
+from subtide.sources import release_all, scope  # noqa: E402
 
 HEADLINE = [
     "pearson_pairs",
@@ -47,6 +47,11 @@ HEADLINE = [
     "fit_logistic",
     "fit_forest",
     "fit_gbt",
+    "grid_tree",
+    "grid_forest",
+    "compiled_ensembles",
+    "sparse_categories",
+    "distinct_by_month",
 ]
 
 
@@ -61,7 +66,8 @@ def faster_of_two(run):
 
 
 def run_query(build, inputs: Inputs) -> None:
-    build(inputs).write.format("noop").mode("overwrite").save()
+    with scope(inputs.spark):
+        build(inputs).write.format("noop").mode("overwrite").save()
 
 
 def main() -> None:

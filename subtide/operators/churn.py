@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subtide.functions import days_between, pick, u01, with_year_month, zero_to_one
 from subtide.operators.abtest import MAIN_PLANS
+from subtide.operators.ordering import in_ranges, running_sums
 from subtide.operators.profile import drop_any_null, nan_to_null, quoted, value_shares
 from subtide.operators.relational import join_splitting_hot_keys, keep_ids
-from subtide.sources import CUSTOMER_SERVICE, ENGAGEMENT, SUBSCRIBERS, require
+from subtide.sources import CUSTOMER_SERVICE, ENGAGEMENT, SUBSCRIBERS, materialize, require
 
 # The engagement measures.
 MEASURES = (
@@ -160,7 +163,7 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def observed_shares(df: DataFrame, column: str) -> dict[str, float]:
-    """Shares of a category column as plan-time values, one for each branch of the choice."""
+    """Shares of a column of few categories as plan-time values, one for each branch of a choice."""
     return dict(sorted((r[column], r["share"]) for r in value_shares(df, column).collect()))
 
 
@@ -173,14 +176,46 @@ def impute_categorical(
     """Fill each null with a category drawn by ``shares``, or by those observed.
 
     The draw depends on the row's key only, see :func:`subtide.functions.u01`.
+    Observed shares stay a table, so a column may have any number of categories.
     """
-    shares = observed_shares(df, column) if shares is None else shares
     # The draw is a column of its own, made for unknown answers only, so that it
     # is worked out once and not again in every branch of the choice.
     unknown = F.when(F.col(column).isNull(), u01(key, f"impute_{column}"))
-    drawn = pick(F.col("_draw"), list(shares), list(shares.values()))
-    filled = df.withColumn("_draw", unknown).withColumn(column, F.coalesce(F.col(column), drawn))
-    return filled.drop("_draw")
+    drawn = df.withColumn("_draw", unknown)
+    if shares is None:
+        return _impute_observed(drawn, column).select(*map(quoted, df.columns))
+    chosen = pick(F.col("_draw"), list(shares), list(shares.values()))
+    return drawn.withColumn(column, F.coalesce(F.col(column), chosen)).drop("_draw")
+
+
+def category_slices(df: DataFrame, column: str) -> DataFrame:
+    """``category``, ``low`` and ``high``: the slices of [0, 1) by observed share, in the categories' order."""
+    counts = df.where(F.col(quoted(column)).isNotNull()).groupBy(F.col(quoted(column)).alias("category")).agg(F.count("*").alias("n"))
+    summed = running_sums(in_ranges(counts, ["category"], "categories"), ["category"], {"upto": "n"})
+    total = summed.agg(F.max("upto")).scalar()
+    edge = lambda c: F.col(c).cast("double") / total
+    return materialize(summed.withColumn("from", F.col("upto") - F.col("n")).select("category", edge("from").alias("low"), edge("upto").alias("high")), "slices")
+
+
+def _impute_observed(drawn: DataFrame, column: str) -> DataFrame:
+    """Fill nulls by their ``_draw`` from the observed shares.
+
+    [0, 1) is cut into as many cells as there are categories. A slice is listed in the
+    cells it touches, two for each category in the mean; a draw meets the slices of its cell only.
+    """
+    slices = category_slices(drawn, column)
+    cells = max(slices.count(), 1)
+    salts = math.ceil(math.sqrt(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cell = lambda c: F.least(F.floor(F.col(c) * cells), F.lit(cells - 1))
+    listed = slices.withColumn("_cell", F.explode(F.sequence(cell("low"), cell("high"))))
+    listed = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    empty = drawn.where(F.col(quoted(column)).isNull()).withColumns({"_cell": cell("_draw"), "_salt": spread})
+    within = (empty["_cell"] == listed["_cell"]) & (empty["_salt"] == listed["_salt"])
+    within &= (F.col("_draw") >= F.col("low")) & (F.col("_draw") < F.col("high"))
+    filled = empty.join(listed, within, "left").drop(empty["_cell"], listed["_cell"], empty["_salt"], listed["_salt"])
+    filled = filled.withColumn(column, F.col("category")).select(*map(quoted, drawn.columns))
+    return drawn.where(F.col(quoted(column)).isNotNull()).unionByName(filled)
 
 
 def churn_feature_table(

@@ -6,19 +6,15 @@ All inputs hold an actual label in ``y_actual`` and a score in ``y_pred`` (or a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide.functions import ratio
-from subtide.sources import materialize
+from subtide.operators.ordering import in_ranges
 
 CELLS = ("tn", "fp", "fn", "tp")
-# Distinct scores in a range of a running sum; the driver holds one row for each range.
-SCORES_PER_RANGE = 1_000_000
 
 
 def threshold_predict(
@@ -141,69 +137,57 @@ def _cumulative_counts(
 ) -> tuple[DataFrame, int, int, float | None]:
     """Distinct scores with the counts at and above them, class totals, highest score.
 
-    A running sum over all scores would put them into one task. Instead the
-    scores are cut into ranges of about equal size at approximate quantiles; each
-    range gets a running sum of its own, and what lies above the range is added
-    from the range totals. Only the cut points and totals, one number for each
-    range, are read by the driver. The counts are written once, as three jobs use
-    them.
+    A running sum over all scores would put them into one task. Instead the counts
+    are dealt to ranges of scores as they are written, once; each range gets a running
+    sum of its own, and what lies above the range is joined from the range totals. The
+    plan is the same for any number of ranges. The driver reads a row for each range,
+    as many as there are shuffle partitions.
     """
-    spark = scored.sparkSession
-    shuffle_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = materialize(score_counts(_labelled(scored, actual), actual, score), "scores")
-    buckets = buckets or max(shuffle_partitions, math.ceil(counts.count() / SCORES_PER_RANGE))
-    quantiles = [i / buckets for i in range(1, buckets)]
-    found = counts.approxQuantile("score", quantiles, 1 / (4 * buckets)) if quantiles else []
-    cuts = sorted(set(found)) or [0.0]
-    bucketizer = Bucketizer(
-        splits=[-float("inf"), *cuts, float("inf")],
-        inputCol="score",
-        outputCol="bucket",
-        handleInvalid="error",
-    )
-    ranged = bucketizer.transform(counts).withColumn("bucket", F.col("bucket").cast("int"))
-    rows = ranged.groupBy("bucket").agg(
+    counts = score_counts(_labelled(scored, actual), actual, score)
+    ranged = in_ranges(counts, ["score"], "scores", buckets)
+    is_nan = F.isnan(F.col("score").cast("double"))
+    totals = ranged.groupBy("_part").agg(
         F.sum("pos").alias("pos"),
         F.sum("neg").alias("neg"),
         F.max_by(F.struct("score", "pos", "neg"), "score").alias("top"),
+        F.count_if(F.col("score").isNull()).alias("nulls"),
+        F.count_if(is_nan).alias("nans"),
     )
-    totals = {r["bucket"]: r for r in rows.collect()}
-    if None in totals:
-        raise ValueError(f"null scores in {score!r}")
-    # Down from the highest range: counts above each range. Up from the lowest:
-    # the highest score below each range, which its last row needs to look ahead.
-    size = len(cuts) + 1
-    above, below = [(0, 0)] * size, [None] * size
+    # One row for each range, from the highest down: counts above it; then the highest
+    # score below it, which its last row needs to look ahead.
+    found = sorted(totals.collect(), key=lambda r: -r["_part"])
+    for kind in ("null", "nan"):
+        if any(r[f"{kind}s"] for r in found):
+            raise ValueError(f"{'NaN' if kind == 'nan' else kind} scores in {score!r}")
     tp = fp = 0
-    for bucket in reversed(range(size)):
-        above[bucket] = (tp, fp)
-        if bucket in totals:
-            tp, fp = tp + totals[bucket]["pos"], fp + totals[bucket]["neg"]
-    for bucket in range(1, size):
-        below[bucket] = totals[bucket - 1]["top"] if bucket - 1 in totals else below[bucket - 1]
-    highest = totals[max(totals)]["top"]["score"] if totals else None
-    start = F.array(
-        *[
-            F.struct(
-                F.lit(t).cast("bigint").alias("tps"),
-                F.lit(f).cast("bigint").alias("fps"),
-                F.lit(nxt["pos"] if nxt else None).cast("bigint").alias("next_pos"),
-                F.lit(nxt["neg"] if nxt else None).cast("bigint").alias("next_neg"),
-            )
-            for (t, f), nxt in zip(above, below)
-        ]
-    )
-    order = Window.partitionBy("bucket").orderBy(F.col("score").desc())
+    rows = []
+    for r, lower in zip(found, [*found[1:], None]):
+        top = lower["top"] if lower else None
+        rows.append((r["_part"], tp, fp, top and top["pos"], top and top["neg"]))
+        tp, fp = tp + r["pos"], fp + r["neg"]
+    highest = found[0]["top"]["score"] if found else None
+    schema = "_part int, tps_above long, fps_above long, pos_below long, neg_below long"
+    base = F.broadcast(scored.sparkSession.createDataFrame(rows, schema))
+    order = Window.partitionBy("_part").orderBy(F.col("score").desc())
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = F.element_at(start, F.col("bucket") + 1)
-    points = ranged.select(
+    summed = ranged.select(
+        "_part",
+        "score",
+        "pos",
+        "neg",
+        F.sum("pos").over(running).alias("tps"),
+        F.sum("neg").over(running).alias("fps"),
+        F.lead("pos").over(order).alias("next_pos"),
+        F.lead("neg").over(order).alias("next_neg"),
+    )
+    points = summed.join(base, "_part").select(
         "score",
         "pos",
         "neg",
-        (base["tps"] + F.sum("pos").over(running)).alias("tps"),
-        (base["fps"] + F.sum("neg").over(running)).alias("fps"),
-        F.coalesce(F.lead("pos").over(order), base["next_pos"]).alias("next_pos"),
-        F.coalesce(F.lead("neg").over(order), base["next_neg"]).alias("next_neg"),
+        (F.col("tps") + F.col("tps_above")).alias("tps"),
+        (F.col("fps") + F.col("fps_above")).alias("fps"),
+        F.coalesce("next_pos", "pos_below").alias("next_pos"),
+        F.coalesce("next_neg", "neg_below").alias("next_neg"),
     )
     return points, tp, fp, highest
 

@@ -49,6 +49,29 @@ def distinct_count(df: DataFrame, column: str, approx: bool = False) -> DataFram
     return df.agg(count(F.col(column)).alias("distinct_count"))
 
 
+def distinct_bitmaps(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """The distinct keys of each group as bitmaps: the group, ``bucket`` and ``bits``.
+
+    For whole-number keys. A bitmap has the keys of one range of 32,768, so dense keys
+    are shuffled as bits, and what is stored by group or month can be merged later.
+    """
+    value = F.col(quoted(key)).cast("long")
+    marked = df.where(value.isNotNull()).select(
+        *map(quoted, by), F.bitmap_bucket_number(value).alias("bucket"), F.bitmap_bit_position(value).alias("_bit")
+    )
+    return marked.groupBy(*map(quoted, by), "bucket").agg(F.bitmap_construct_agg("_bit").alias("bits"))
+
+
+def merge_bitmaps(bitmaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Bitmaps of coarser groups: those of one bucket joined bit by bit."""
+    return bitmaps.groupBy(*map(quoted, by), "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def count_bitmaps(bitmaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Exact ``distinct_count`` of each group from its merged bitmaps."""
+    return bitmaps.groupBy(*map(quoted, by)).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("distinct_count"))
+
+
 def row_count(df: DataFrame) -> DataFrame:
     """Number of rows, as one row."""
     return df.agg(F.count("*").alias("rows"))

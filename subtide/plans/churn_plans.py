@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from subtide.operators import churn, encode, relational
 from subtide.operators.churn import MEASURES, PROFILE_COLUMNS
 from subtide.plans.inputs import Inputs
+from subtide.plans.oracle import u01
 from subtide.plans.registry import query
 from subtide.sources import materialize
 
@@ -84,6 +85,19 @@ def impute_categorical(t: Inputs) -> DataFrame:
     return features(t).select("subid", "preferred_genre", "intended_use")
 
 
+@query(
+    "impute_observed",
+    "SELECT s.subid, coalesce(s.op_sys, c.op_sys) AS op_sys FROM (SELECT subid, op_sys, "
+    f"{u01('subid', 'impute_op_sys')} AS u FROM subscribers) s LEFT JOIN ("
+    "SELECT op_sys, (sum(n) OVER (ORDER BY op_sys) - n) / CAST(sum(n) OVER () AS DOUBLE) AS low, "
+    "sum(n) OVER (ORDER BY op_sys) / CAST(sum(n) OVER () AS DOUBLE) AS high "
+    "FROM (SELECT op_sys, count(*) AS n FROM subscribers WHERE op_sys IS NOT NULL GROUP BY op_sys)) c "
+    "ON s.op_sys IS NULL AND s.u >= c.low AND s.u < c.high",
+)
+def impute_observed(t: Inputs) -> DataFrame:
+    return churn.impute_categorical(t.subscribers.select("subid", "op_sys"), "op_sys")
+
+
 @query(
     "split_counts",
     "SELECT is_train, count(*) AS rows, CAST(sum(churn) AS BIGINT) AS churned FROM ("
@@ -130,6 +144,25 @@ def dummy_encode(t: Inputs) -> DataFrame:
     return encode.dummy_encode(rows)
 
 
+@query(
+    "sparse_categories",
+    "SELECT subid, count(spot) = 0 AS is_empty, CAST(coalesce(sum(spot + 1), 0) AS BIGINT) AS places, "
+    "count(spot) AS n FROM (SELECT f.subid, l.spot FROM (SELECT subid, unnest(generate_series(0, 6)) AS place, "
+    f"unnest([{', '.join(f'CAST({c} AS VARCHAR)' for c in encode.CATEGORICAL)}]) AS level FROM features) f "
+    "LEFT JOIN (SELECT place, level, CASE WHEN k > 1 THEN number - 1 - firsts END AS spot FROM ("
+    "SELECT place, level, row_number() OVER (ORDER BY place, level) AS number, row_number() OVER (PARTITION BY place ORDER BY level) AS k, "
+    "dense_rank() OVER (ORDER BY place) AS firsts FROM (SELECT DISTINCT place, level FROM (SELECT unnest(generate_series(0, 6)) AS place, "
+    f"unnest([{', '.join(f'CAST({c} AS VARCHAR)' for c in encode.CATEGORICAL)}]) AS level FROM features) WHERE level IS NOT NULL))) l "
+    "ON f.place = l.place AND f.level = l.level) GROUP BY subid",
+)
+def sparse_categories(t: Inputs) -> DataFrame:
+    """Places of a row's categories in its sparse vector: none at all, their sum from 1, their number."""
+    rows = stored_features(t).select("subid", *encode.CATEGORICAL)
+    at = F.unwrap_udt("categories")["indices"]
+    total = F.aggregate(at, F.lit(0).cast("bigint"), lambda a, x: a + x + 1)
+    return encode.sparse_encode(rows).select("subid", (F.size(at) == 0).alias("is_empty"), total.alias("places"), F.size(at).cast("bigint").alias("n"))
+
+
 @query(
     "dummy_encode_nulls",
     "SELECT subid, CAST(coalesce(package_type = 'enhanced', false) AS INT) AS package_type_enhanced, "

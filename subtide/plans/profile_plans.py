@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subtide.functions import with_year_month
 from subtide.operators import channel, churn, profile, relational
 from subtide.plans.inputs import Inputs
 from subtide.plans.oracle import COMPLETE, MEASURES
 from subtide.plans.registry import query
-from subtide.sources import load_spend_csv, shared_folder, write_csv
+from subtide.sources import load_spend_csv, scratch_path, split_spend_csv, write_csv
 
 ALL_ENGAGEMENT = ("subid", "date", "payment_period", *MEASURES)
 
@@ -235,6 +236,41 @@ def spend_typed(t: Inputs) -> DataFrame:
     """Spend written as text with thousands separators and read back as numbers."""
     spend = t.ad_spend
     money = [F.format_number(c, 6).alias(c) for c in channel.spend_channels(spend)]
-    path = f"{shared_folder(t.spark)}/subtide/spend-{t.run_id}"
+    path = scratch_path(t.spark, "spend")
     write_csv(spend.select(F.make_date("year", "month", F.lit(1)).alias("date"), *money), path)
     return load_spend_csv(t.spark, path)
+
+
+def _split_spend(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Good and rejected records of spend written as text, with an unreadable amount in two months a year."""
+    spend = t.ad_spend
+    amount = {c: F.format_number(c, 6) for c in channel.spend_channels(spend)}
+    amount["email"] = F.when(F.col("month") % 5 == 0, "n/a").otherwise(amount["email"])
+    path = scratch_path(t.spark, "spend")
+    write_csv(spend.select(F.make_date("year", "month", F.lit(1)).alias("date"), *[v.alias(c) for c, v in amount.items()]), path)
+    return split_spend_csv(t.spark, path)
+
+
+@query("spend_accepted", "SELECT year, month, facebook, email, search FROM ad_spend WHERE month % 5 <> 0")
+def spend_accepted(t: Inputs) -> DataFrame:
+    return _split_spend(t)[0]
+
+
+@query(
+    "spend_rejected",
+    "SELECT strftime(make_date(year, month, 1), '%Y-%m-%d') AS day, 'email' AS bad_columns FROM ad_spend WHERE month % 5 = 0",
+)
+def spend_rejected(t: Inputs) -> DataFrame:
+    bad = _split_spend(t)[1]
+    return bad.select(F.substring("record", 1, 10).alias("day"), F.concat_ws(",", "bad_columns").alias("bad_columns"))
+
+
+@query(
+    "distinct_by_month",
+    "SELECT year(account_creation_date) AS year, count(DISTINCT subid) AS distinct_count FROM customer_service GROUP BY 1",
+)
+def distinct_by_month(t: Inputs) -> DataFrame:
+    """Distinct subscribers of each year, merged from bitmaps by month."""
+    dated = with_year_month(t.customer_service, "account_creation_date")
+    by_month = profile.distinct_bitmaps(dated, "subid", ["year", "month"])
+    return profile.count_bitmaps(profile.merge_bitmaps(by_month, ["year"]), ["year"]).withColumn("year", F.col("year").cast("bigint"))

@@ -15,8 +15,10 @@ from subtide.sources.tables import (
     materialize,
     release,
     release_all,
+    scope,
     scratch_path,
     shared_folder,
+    split_spend_csv,
     write_csv,
 )
 
@@ -33,7 +35,9 @@ __all__ = [
     "release",
     "release_all",
     "require",
+    "scope",
     "scratch_path",
     "shared_folder",
+    "split_spend_csv",
     "write_csv",
 ]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
@@ -27,29 +30,65 @@ def load_spend_csv(
     dates need none.
     """
     raw = spark.read.csv(path, header=True)
-    day = F.to_date(F.col(date_col), date_format)
     channels = [c for c in raw.columns if c != date_col]
-    money = [F.translate(F.col(f"`{c}`"), ",", "").cast("double").alias(c) for c in channels]
+    money = [_number(c).cast("double").alias(c) for c in channels]
+    day = F.to_date(F.col(date_col), date_format)
     return raw.select(F.year(day).alias("year"), F.month(day).alias("month"), *money)
 
 
+def _number(column: str) -> Column:
+    """The text of a cell without separators of thousands."""
+    return F.translate(F.col(f"`{column}`"), ",", "")
+
+
+def split_spend_csv(
+    spark: SparkSession, path: str, date_col: str = "date", date_format: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a wide spend CSV as :func:`load_spend_csv` gives them, and its rejects.
+
+    A record is rejected whole if its date or an amount can't be read, or if it has
+    more or fewer cells than the header. Rejects have the record's text (``record``)
+    and the columns at fault (``bad_columns``, empty if the number of cells is).
+    Empty cells are unknown amounts, an empty date is at fault.
+    """
+    header = spark.read.csv(path, header=True).columns
+    channels = [c for c in header if c != date_col]
+    broken = "_broken_record"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, broken]])
+    raw = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=broken)
+    day = F.expr(f"try_to_date(`{date_col}`{'' if date_format is None else ', ' + repr(date_format)})")
+    unread = [F.when(day.isNull(), F.lit(date_col))]
+    unread += [F.when(F.col(f"`{c}`").isNotNull() & _number(c).try_cast("double").isNull(), F.lit(c)) for c in channels]
+    bad = F.when(F.col(broken).isNull(), F.array_compact(F.array(*unread))).otherwise(F.array().cast("array<string>"))
+    marked = raw.withColumns({"_bad": bad, "_day": day})
+    is_bad = (F.size("_bad") > 0) | F.col(broken).isNotNull()
+    text = F.coalesce(F.col(broken), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in header])))
+    money = [_number(c).try_cast("double").alias(c) for c in channels]
+    rows = marked.where(~is_bad).select(F.year("_day").alias("year"), F.month("_day").alias("month"), *money)
+    return rows, marked.where(is_bad).select(text.alias("record"), F.col("_bad").alias("bad_columns"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a table as CSV part files with a header line."""
     df.write.mode("overwrite").csv(path, header=True)
 
 
-# Paths of stored tables by application.
-_STORED: dict[str, list[str]] = {}
+# Paths of stored tables by application, each with the scope it belongs to.
+_STORED: dict[str, dict[str, object]] = {}
+_SCOPE: ContextVar[object] = ContextVar("subtide_scope", default=None)
 
 
-def checkpoint_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def checkpoint_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), read_as: T.StructType | None = None
+) -> DataFrame:
     """Write a table as Parquet and return a reader of what was written.
 
     The reader has no lineage behind it and, unlike a cached frame, outlives
     lost executors. Its file sizes also give the optimizer true statistics.
+    ``read_as`` names other types of the same stored form.
     """
     df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(read_as or df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,42 +106,59 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), read_as: T.StructType | None = None
+) -> DataFrame:
     """:func:`checkpoint_table` under a fresh name in the shared folder.
 
-    The table stays until :func:`release` is called on what comes back, or
-    :func:`release_all` for the whole session.
+    The table stays until the :func:`scope` around it ends, :func:`release` is called
+    on what comes back, or :func:`release_all` for the whole session.
     """
-    return checkpoint_table(df, scratch_path(df.sparkSession, name), partition_by)
+    return checkpoint_table(df, scratch_path(df.sparkSession, name), partition_by, read_as)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted by :func:`delete_path` or with all stored tables."""
+    """A fresh path in the shared folder, registered for deletion before anything is written."""
     path = f"{shared_folder(spark)}/subtide/{name}-{uuid.uuid4().hex}"
-    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _STORED.setdefault(spark.sparkContext.applicationId, {})[path] = _SCOPE.get()
     return path
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving all that was stored within, also what a failed job left half written.
+
+    Results must be read or written elsewhere inside. Scopes may be nested or run in
+    several threads; each has what its own thread stored in it.
+    """
+    mark = object()
+    token = _SCOPE.set(mark)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        own = _STORED.get(spark.sparkContext.applicationId, {})
+        for path in [p for p, of in own.items() if of is mark]:
+            delete_path(spark, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete what lies at a path of :func:`scratch_path`."""
     _delete(spark, path)
-    own = _STORED.get(spark.sparkContext.applicationId, [])
-    if path in own:
-        own.remove(path)
+    _STORED.get(spark.sparkContext.applicationId, {}).pop(path, None)
 
 
 def release(stored: DataFrame) -> None:
     """Delete the files behind tables that :func:`materialize` wrote and that ``stored`` reads."""
-    own = _STORED.get(stored.sparkSession.sparkContext.applicationId, [])
+    own = _STORED.get(stored.sparkSession.sparkContext.applicationId, {})
     read = stored.inputFiles()
     for path in [p for p in own if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in read)]:
-        _delete(stored.sparkSession, path)
-        own.remove(path)
+        delete_path(stored.sparkSession, path)
 
 
 def release_all(spark: SparkSession) -> None:
-    """Delete all that :func:`materialize` wrote in this session."""
-    for path in _STORED.pop(spark.sparkContext.applicationId, []):
+    """Delete all that was stored in this session."""
+    for path in _STORED.pop(spark.sparkContext.applicationId, {}):
         _delete(spark, path)
 
 
