@@ -271,8 +271,16 @@ def build(vectors: DataFrame, members: int, k: int = K, rounds: int = ROUNDS) ->
     return Index(nodes, folder, offsets, size, tuple(sorted(entries)), repeats)
 
 
+def _leading(scores: np.ndarray, n: int, slack: float = 1e-9) -> np.ndarray:
+    """Places of the ``n`` best scores and of all that are tied with the last, up to rounding."""
+    if len(scores) <= n:
+        return np.arange(len(scores))
+    last = np.partition(scores, len(scores) - n)[len(scores) - n]
+    return np.flatnonzero(scores >= last - slack * max(1.0, abs(last)))
+
+
 def greedy(index: Index, query: np.ndarray, start: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of the best nodes met, best first."""
+    """Positions and scores of the best nodes met, best first; ties with the last of the beam are kept."""
     seen = np.unique(start)
     ids, scores, open_ = seen, index.rows("vectors", seen) @ query, np.ones(len(seen), bool)
     while open_.any():
@@ -288,7 +296,7 @@ def greedy(index: Index, query: np.ndarray, start: np.ndarray, beam: int = BEAM)
         scores = np.concatenate([scores, index.rows("vectors", near) @ query])
         open_ = np.concatenate([open_, np.ones(len(near), bool)])
         if len(ids) > beam:
-            kept = np.argpartition(-scores, beam - 1)[:beam]
+            kept = _leading(scores, beam)
             ids, scores, open_ = ids[kept], scores[kept], open_[kept]
     order = np.lexsort((ids, -scores))
     return ids[order], scores[order]
@@ -311,9 +319,11 @@ def search(index: Index, queries: DataFrame, top: int, beam: int = BEAM) -> Data
             out = []
             for query_id, own, query in zip(batch.column("vec_id"), batch.column("own"), _matrix(batch.column("vector"))):
                 start = np.array([*files.entries, *([own.as_py()] if own.is_valid else [])], np.int64)
-                pos, _ = greedy(files, query, start, beam)
-                pos = pos[:places]
+                pos, rough = greedy(files, query, start, beam)
+                pos = pos[_leading(rough, places)]
                 scores = (files.rows("vectors", pos) * query).sum(1)
+                exact = _leading(scores, places, slack=0.0)
+                pos, scores = pos[exact], scores[exact]
                 out += [(query_id.as_py(), int(p), float(s)) for p, s in zip(pos, scores)]
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, [pa.int64(), pa.int64(), pa.float64()])]
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "pos", "score"])

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -220,10 +221,13 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     normal = normalise(text)
     if normal.changed is None:
         return base, []
+    # Plain spans of one kind are in order and apart, so one of them at most covers a place.
+    starts, ends = ({k: [s[i] for s in base if s[0] == k] for k in KINDS} for i in (1, 2))
     more = []
     for kind, a, b in detect(normal.text):
         start, end = normal.first[a], normal.last[b - 1]
-        if any(normal.changed[a:b]) and not any(k == kind and s <= start and end <= e for k, s, e in base):
+        at = bisect_right(starts[kind], start) - 1
+        if any(normal.changed[a:b]) and (at < 0 or end > ends[kind][at]):
             more.append((kind, start, end))
     return base, more
 

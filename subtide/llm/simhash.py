@@ -96,10 +96,12 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     flips = [F.array(*[F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]]) for m in kept]
     near = F.explode(F.get(F.array(*flips), F.col("table")))
     values = members.select("fp", near.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value")).distinct()
+    if radius == 1:
+        # A value with one bit flipped that is a fingerprint itself is a link.
+        met = values.join(distinct.select(F.col("fp").alias("value")), "value").filter("fp > value")
+        return met.select(F.col("fp").alias("u"), F.col("value").alias("v")).distinct()
     least = Window.partitionBy("value")
     found = values.select("fp", F.min("fp").over(least).alias("least")).filter("fp <> least")
-    if radius == 1:
-        found = found.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 1)
     return found.select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
