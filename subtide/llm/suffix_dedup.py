@@ -35,6 +35,8 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -47,7 +49,7 @@ GRAM = 32
 STRIDE = 2
 SHARD = 2048  # strings
 GROUP = 8192  # strings
-SLICE = 500  # documents
+SLICE = 1 << 20  # bytes of text looked at at a time
 CHUNK, PIECE = 1 << 17, 1 << 20  # bytes
 HELD = 200_000  # strings, or eight times as many anchors, that a task adds up before it sends them
 PARTS = 2  # for each shuffle partition, so that a part's arrays stay small
@@ -150,9 +152,25 @@ def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``SLICE`` bytes of text, or one longer text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _squeezed(data: bytes) -> bytes:
+    """Compressed bytes, for what is sent; texts of one part have much in common."""
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -351,7 +369,7 @@ def _merge_parts(docs: DataFrame, folder: str, parts: int) -> None:
             rows = []
             for p, mine in _by_part(_part(hashes, parts), parts):
                 text = b"".join([strings[i] for i in mine.tolist()])
-                rows.append((p, text, *(c[mine].tobytes() for c in (lengths, hashes, own))))
+                rows.append((p, _squeezed(text), *(_squeezed(c[mine].tobytes()) for c in (lengths, hashes, own))))
             yield _packed(rows, ["text", "lengths", "anchors", "docs"])
 
         for batch in _sliced(batches):
@@ -370,8 +388,8 @@ def _merge_parts(docs: DataFrame, folder: str, parts: int) -> None:
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         least: dict[bytes, tuple[int, int]] = {}
         for text, lengths, anchors, own in zip(*(table.column(c) for c in ("text", "lengths", "anchors", "docs"))):
-            text, at = text.as_py(), 0
-            sent = (np.frombuffer(x.as_py(), k).tolist() for x, k in ((lengths, np.uint8), (anchors, np.uint64), (own, np.int64)))
+            text, at = _unsqueezed(text.as_py()), 0
+            sent = (np.frombuffer(_unsqueezed(x.as_py()), k).tolist() for x, k in ((lengths, np.uint8), (anchors, np.uint64), (own, np.int64)))
             for n, h, d in zip(*sent):
                 string = text[at : at + n]
                 at += n
