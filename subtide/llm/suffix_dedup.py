@@ -8,6 +8,11 @@ arrays below ``spark.checkpoint.dir`` (a folder mounted on all machines):
    Equal windows name equal anchors, so a window whose anchor is in one document only
    has no equal elsewhere. Documents send each anchor's hash once; those that two
    documents sent are kept. This loses nothing and leaves out the unique text.
+   The pass also counts, from above, the different stretches of text that name an
+   anchor. An anchor of more than ``HOT`` is hot: its stretches are taken apart into
+   windows, which go to parts by a hash of all their 50 bytes. Equal windows stay
+   together, and what is left of a hot anchor's group is one string and its smallest
+   document. So no group that is merged has more than ``GROUP + HOT`` strings.
 2. *Merging.* The text around each kept anchor (all windows that name it, at most 68
    bytes) goes to the anchor's part, with the smallest document that has it; equal
    stretches are one string. A part deals the strings of some thousand anchors at a
@@ -27,6 +32,7 @@ table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -39,7 +45,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from subtide.llm.common import ragged_arange
 from subtide.sources import shared_folder
@@ -49,15 +55,18 @@ GRAM = 32
 STRIDE = 2
 SHARD = 2048  # strings
 GROUP = 8192  # strings
+HOT = 8192  # different stretches of one anchor
+FILL = 400_000  # strings of a part, by the first pass's count
 SLICE = 1 << 20  # bytes of text looked at at a time
 CHUNK, PIECE = 1 << 17, 1 << 20  # bytes
 HELD = 200_000  # strings, or eight times as many anchors, that a task adds up before it sends them
-PARTS = 2  # for each shuffle partition, so that a part's arrays stay small
+PARTS = 2  # for each shuffle partition, at least
 # No byte of UTF-8 is above 244, so two of them and the end fit 16 bits.
 BASE = 246
 _LAST = int(np.iinfo(np.int64).max)
 _NONE = (0, _LAST + 1)
 _POSITION = np.uint64((1 << 24) - 1)
+_LOW = np.uint64(24)
 
 
 # ---- anchors
@@ -79,8 +88,10 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of windows that name one anchor: text, anchor hash, first window, number of windows.
+def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each run of windows that name one anchor: text, anchor hash, first window, number of windows, key.
+
+    The key has the anchor's hash above and a hash of the whole stretch in the low bits.
 
     Texts are joined to chunks, so that short ones don't cost a pass each; very long
     ones are cut into pieces that overlap by all but one byte of a window.
@@ -96,10 +107,10 @@ def _stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if pieces:
         found.append(_chunk(pieces))
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none.astype(np.uint64), none, none)
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none.astype(np.uint64), none, none, none.astype(np.uint64))
 
 
-def _chunk(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _chunk(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     lengths = np.array([len(x) for _, _, x in pieces])
     h = _gram_hashes(np.frombuffer(b"".join(x for _, _, x in pieces), np.uint8))
     # The place in the low bits makes the first of equal hashes the smallest.
@@ -117,7 +128,12 @@ def _chunk(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))
     of = piece[first]
     doc, offset = (np.array([x[k] for x in pieces])[of] for k in (0, 1))
-    return doc, h[anchor[first]], at[first] - starts[of] + offset, np.diff(np.append(first, len(anchor)))
+    count = np.diff(np.append(first, len(anchor)))
+    # The first gram, the anchor and the last gram are all of a stretch.
+    hashes, begin = h[anchor[first]], at[first]
+    ends = h[begin] * np.uint64(0x9E3779B97F4A7C15) + h[begin + count - 1 + LENGTH - GRAM]
+    ends = (ends ^ ends >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return doc, hashes, begin - starts[of] + offset, count, hashes & ~_POSITION | ends >> np.uint64(40)
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -177,23 +193,32 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(t.as_py() or "").encode() for t in batch.column("text")]
 
 
-def _find_anchors(docs: DataFrame, folder: str, parts: int) -> None:
-    """Writes, by part, the sorted hashes of anchors that two documents have."""
+def _find_anchors(docs: DataFrame, folder: str, parts: int, hot: int) -> int:
+    """Writes, by part, the sorted hashes of anchors that two documents have, and of the hot ones.
+
+    The strings to come, counted from above, come back. A task's different stretches
+    are counted exactly, those of two tasks as if all were different.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, keys, n = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+            anchors, stretches = np.unique(np.unique(np.concatenate(keys)) >> _LOW, return_counts=True)
+            several = np.flatnonzero(stretches > 1)
+            extra = np.zeros(len(hashes), "<u4")
+            extra[np.searchsorted(hashes, anchors[several] << _LOW)] = stretches[several] - 1
             low = hashes.astype("<u4")
             rows = []
             for p, mine in _by_part(_part(hashes, parts), parts):
-                both = mine[counts[mine] > 1]
-                rows.append((p, low[mine].tobytes(), low[both].tobytes()))
-            yield _packed(rows, ["seen", "again"])
+                both, more = mine[counts[mine] > 1], mine[extra[mine] > 0]
+                rows.append((p, *(c.tobytes() for c in (low[mine], low[both], low[more], extra[more]))))
+            yield _packed(rows, ["seen", "again", "more", "extra"])
 
         for batch in _sliced(batches):
-            doc, hashes, _, _ = _stretches(_texts(batch))
+            doc, hashes, _, _, key = _stretches(_texts(batch))
+            keys.append(key)
             # Each document counts a hash once.
             order = np.lexsort((hashes, doc))
             doc, hashes = doc[order], hashes[order]
@@ -203,25 +228,32 @@ def _find_anchors(docs: DataFrame, folder: str, parts: int) -> None:
             n += len(held[-1])
             if n >= 8 * HELD:
                 yield from flush()
-                held, n = [], 0
+                held, keys, n = [], [], 0
         if n:
             yield from flush()
 
     def keep(key: tuple, table: pa.Table) -> pa.Table:
         # The low half of the hash: parts split by the high half, and a false match only costs work.
-        all_ = np.concatenate([np.frombuffer(b.as_py(), "<u4") for c in ("seen", "again") for b in table.column(c)])
-        values, counts = np.unique(all_, return_counts=True)
-        _save(folder, f"anchors-{key[0].as_py()}", values[counts > 1])
-        return pa.table({"n": [int((counts > 1).sum())]})
+        whole = lambda *names: np.concatenate([np.frombuffer(b.as_py(), "<u4") for c in names for b in table.column(c)])
+        values, counts = np.unique(whole("seen", "again"), return_counts=True)
+        strings = counts.copy()
+        np.add.at(strings, np.searchsorted(values, whole("more")), whole("extra").astype(np.int64))
+        kept, many = counts > 1, (counts > 1) & (strings > hot)
+        p = key[0].as_py()
+        _save(folder, f"anchors-{p}", values[kept])
+        if many.any():
+            _save(folder, f"hot-{p}", values[many])
+        return pa.table({"n": [int(strings[kept].sum()) + (LENGTH - GRAM) * int(strings[many].sum())]})
 
-    sent = docs.select("text").mapInArrow(send, "part int, seen binary, again binary")
-    sent.groupBy("part").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
+    sent = docs.select("text").mapInArrow(send, "part int, seen binary, again binary, more binary, extra binary")
+    return sent.groupBy("part").applyInArrow(keep, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _kept(folder: str, parts: int, hashes: np.ndarray) -> np.ndarray:
+def _listed(folder: str, name: str, parts: int, hashes: np.ndarray) -> np.ndarray:
+    """Which anchors are in the list of that name."""
     found = np.zeros(len(hashes), bool)
     for p, mine in _by_part(_part(hashes, parts), parts):
-        known = _load(folder, f"anchors-{p}")
+        known = _load(folder, f"{name}-{p}")
         if known is not None and len(known):
             low = hashes[mine].astype("<u4")
             found[mine] = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
@@ -229,11 +261,22 @@ def _kept(folder: str, parts: int, hashes: np.ndarray) -> np.ndarray:
 
 
 def _repeated(batch: pa.RecordBatch, folder: str, parts: int) -> tuple[list[bytes], np.ndarray, ...]:
-    """The texts, and of their stretches with a kept anchor: document, hash, first window, number of windows."""
+    """The texts, and of their stretches with a kept anchor: document, hash, first window, number of windows.
+
+    The stretches of a hot anchor are single windows, with a hash of their own.
+    """
     texts = _texts(batch)
-    doc, hashes, first, count = _stretches(texts)
-    kept = np.flatnonzero(_kept(folder, parts, hashes))
-    return texts, doc[kept], hashes[kept], first[kept], count[kept]
+    doc, hashes, first, count, _ = _stretches(texts)
+    kept = np.flatnonzero(_listed(folder, "anchors", parts, hashes))
+    doc, hashes, first, count = doc[kept], hashes[kept], first[kept], count[kept]
+    hot = _listed(folder, "hot", parts, hashes)
+    if not hot.any():
+        return texts, doc, hashes, first, count
+    mine, windows = np.flatnonzero(hot), count[hot]
+    apart, at = np.repeat(doc[mine], windows), np.repeat(first[mine], windows) + ragged_arange(windows)
+    own = [xxh3_64_intdigest(texts[d][a : a + LENGTH]) for d, a in zip(apart.tolist(), at.tolist())]
+    each = ((doc, apart), (hashes, np.array(own, np.uint64)), (first, at), (count, np.ones(len(at), np.int64)))
+    return texts, *(np.concatenate([whole[~hot], single]) for whole, single in each)
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -355,8 +398,11 @@ def _groups(strings: np.ndarray, anchors: np.ndarray) -> Iterator[np.ndarray]:
 # ---- the operator
 
 
-def _merge_parts(docs: DataFrame, folder: str, parts: int) -> None:
-    """Writes, by part, each stretch's hash and its runs of windows with their smallest document."""
+def _merge_parts(docs: DataFrame, folder: str, lists: int, parts: int) -> None:
+    """Writes, by part, each stretch's hash and its runs of windows with their smallest document.
+
+    ``lists`` is the number of parts that the anchors are listed by.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, tuple[int, int]] = {}
@@ -373,7 +419,7 @@ def _merge_parts(docs: DataFrame, folder: str, parts: int) -> None:
             yield _packed(rows, ["text", "lengths", "anchors", "docs"])
 
         for batch in _sliced(batches):
-            texts, doc, hashes, first, count = _repeated(batch, folder, parts)
+            texts, doc, hashes, first, count = _repeated(batch, folder, lists)
             ids = _ids(batch).tolist()
             for d, h, a, n in zip(doc.tolist(), hashes.tolist(), first.tolist(), count.tolist()):
                 string, own = texts[d][a : a + n + LENGTH - 1], ids[d]
@@ -459,17 +505,17 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.path}/subtide/suffix-dedup-{uuid.uuid4().hex}"
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, fill: int = FILL) -> DataFrame:
     """``doc_id``, ``n_bytes``, the maximal removed runs (``starts``, ``ends``) and the bytes ``kept``."""
     spark = docs.sparkSession
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = _folder(spark)
-    _find_anchors(docs, folder, parts)
-    _merge_parts(docs, folder, parts)
+    parts = max(lists, math.ceil(_find_anchors(docs, folder, lists, hot) / fill))
+    _merge_parts(docs, folder, lists, parts)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            texts, doc, hashes, first, count = _repeated(batch, folder, parts)
+            texts, doc, hashes, first, count = _repeated(batch, folder, lists)
             strings = [texts[d][a : a + n + LENGTH - 1] for d, a, n in zip(doc.tolist(), first.tolist(), count.tolist())]
             stretch, begin, end = _removed_windows(folder, parts, strings, hashes, count, _ids(batch)[doc])
             order = np.lexsort((first[stretch] + begin, doc[stretch]))
