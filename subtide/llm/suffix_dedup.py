@@ -205,7 +205,8 @@ def _find_anchors(docs: DataFrame, folder: str, parts: int, hot: int) -> int:
 
         def flush() -> Iterator[pa.RecordBatch]:
             hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            anchors, stretches = np.unique(np.unique(np.concatenate(keys)) >> _LOW, return_counts=True)
+            each = np.sort(np.concatenate(keys))
+            anchors, stretches = np.unique(each[np.diff(each, prepend=each[0] + np.uint64(1)) != 0] >> _LOW, return_counts=True)
             several = np.flatnonzero(stretches > 1)
             extra = np.zeros(len(hashes), "<u4")
             extra[np.searchsorted(hashes, anchors[several] << _LOW)] = stretches[several] - 1
