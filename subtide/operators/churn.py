@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from subtide.functions import days_between, pick, u01, with_year_month, zero_to_
 from subtide.operators.abtest import MAIN_PLANS
 from subtide.operators.ordering import in_ranges, running_sums
 from subtide.operators.profile import drop_any_null, nan_to_null, quoted, value_shares
-from subtide.operators.relational import join_splitting_hot_keys, keep_ids
-from subtide.sources import CUSTOMER_SERVICE, ENGAGEMENT, SUBSCRIBERS, materialize, require
+from subtide.operators.relational import hot_keys, join_splitting_hot_keys, keep_ids
+from subtide.sources import CUSTOMER_SERVICE, ENGAGEMENT, SUBSCRIBERS, materialize, require, store_by_key
 
 # The engagement measures.
 MEASURES = (
@@ -79,14 +80,14 @@ def with_churn_label(cs: DataFrame) -> DataFrame:
     return cs.withColumn("churn", churn_label())
 
 
-def paying_cohort(cs: DataFrame, ids: DataFrame | None = None, period: int = 1) -> DataFrame:
-    """Labelled rows of subscribers who completed the trial and paid in ``period``.
+def paying_cohort(cs: DataFrame, ids: DataFrame | None = None, period: int | None = 1) -> DataFrame:
+    """Labelled rows of subscribers who completed the trial and paid in ``period`` (None: in any).
 
     ``ids`` narrows the cohort to some subscribers.
     """
     require(cs, CUSTOMER_SERVICE)
     rows = cs.where(
-        (F.col("payment_period") == period)
+        (F.lit(True) if period is None else F.col("payment_period") == period)
         & F.col("trial_completed_tf")
         & (F.col("revenue_net_1month") > 0)
     ).select(
@@ -233,14 +234,67 @@ def churn_feature_table(
     profile first, on the partitioning that the fold left. The cohort, the only
     side that may have many rows for a key, comes last, with hot keys apart.
     """
-    require(subscribers, SUBSCRIBERS, ["subid", *PROFILE_COLUMNS])
     cohort = paying_cohort(cs, period=period).drop("renew", "revenue_net_1month")
+    return _completed(join_splitting_hot_keys(cohort, _engaged(subscribers, engagement, plans), "subid"))
+
+
+def _engaged(subscribers: DataFrame, engagement: DataFrame, plans: Sequence[str]) -> DataFrame:
+    """Engagement and profile of each engaged subscriber of the plans who was not refunded."""
+    require(subscribers, SUBSCRIBERS, ["subid", *PROFILE_COLUMNS])
     profile = subscribers.where(
         ~F.col("refund_after_trial_tf") & F.col("plan_type").isin(*plans)
     ).select("subid", *PROFILE_COLUMNS)
-    known = engagement_features(engagement).join(profile, "subid")
-    table = join_splitting_hot_keys(cohort, known, "subid")
+    return engagement_features(engagement).join(profile, "subid")
+
+
+def _completed(table: DataFrame) -> DataFrame:
+    """Unknown answers filled, year and month added."""
     table = impute_categorical(table, "preferred_genre", GENRE_SHARES)
     table = impute_categorical(table, "intended_use", INTENDED_USE_SHARES)
     table = fill_constant(table, FILL_CONSTANTS)
     return with_year_month(table, "account_creation_date")
+
+
+@dataclass(frozen=True)
+class SubscriberStore:
+    """What :func:`churn_feature_table` joins, stored in buckets by subscriber.
+
+    ``rows`` are the labelled rows of all periods, ``known`` has one row for each
+    subscriber. Rows of subscribers with a large share of all rows would fill one
+    bucket; they are in ``hot``, stored as they come.
+    """
+
+    rows: DataFrame
+    hot: DataFrame | None
+    known: DataFrame
+
+    def features(self, period: int | None = 1) -> DataFrame:
+        """The feature table of a period (None: of all), joined without a shuffle by subscriber."""
+        of = lambda rows: rows if period is None else rows.where(F.col("payment_period") == period)
+        table = of(self.rows).join(self.known, "subid")
+        if self.hot is not None:
+            table = table.unionByName(join_splitting_hot_keys(of(self.hot), self.known, "subid"))
+        return _completed(table)
+
+
+def subscriber_store(
+    subscribers: DataFrame,
+    cs: DataFrame,
+    engagement: DataFrame,
+    plans: Sequence[str] = MAIN_PLANS,
+    buckets: int | None = None,
+    share: float | None = None,
+) -> SubscriberStore:
+    """Store labelled rows and known subscribers for several feature tables.
+
+    A subscriber with at least ``share`` of the labelled rows is hot, see
+    :func:`~subtide.operators.relational.hot_keys`. Rows without a subscriber are in no
+    feature table and not stored. Subscribers are not repeated in ``subscribers``.
+    """
+    rows = paying_cohort(cs, period=None).drop("renew", "revenue_net_1month").where("subid IS NOT NULL")
+    keys = list(hot_keys(rows, "subid", share))
+    is_hot = F.col("subid").isin(*keys)
+    hot = materialize(rows.where(is_hot), "hot-cohort") if keys else None
+    cold = rows.where(~is_hot) if keys else rows
+    known = _engaged(subscribers, engagement, plans)
+    return SubscriberStore(store_by_key(cold, "cohort", ["subid"], buckets), hot, store_by_key(known, "known", ["subid"], buckets))

@@ -67,6 +67,38 @@ def churn_features(t: Inputs) -> DataFrame:
     return features(t)
 
 
+@query("churn_features_stored", f"SELECT {', '.join(FEATURE_COLUMNS)} FROM features")
+def churn_features_stored(t: Inputs) -> DataFrame:
+    """The feature table from tables that are stored in buckets by subscriber."""
+    return churn.subscriber_store(t.subscribers, t.customer_service, t.engagement).features()
+
+
+@query(
+    "churn_by_period",
+    "SELECT c.payment_period, count(*) AS rows, CAST(sum(churn) AS BIGINT) AS churned, "
+    "count(DISTINCT c.subid) AS subscribers, sum(coalesce(t.app_opens_trial, 0)) AS app_opens_trial "
+    "FROM (SELECT subid, payment_period, CASE WHEN renew = false THEN 1 WHEN current_sub_tf = false THEN 1 "
+    "WHEN revenue_net_1month <= 0 THEN 1 ELSE 0 END AS churn FROM customer_service "
+    "WHERE trial_completed_tf AND revenue_net_1month > 0) c "
+    "JOIN (SELECT subid FROM subscribers WHERE refund_after_trial_tf = false "
+    "AND plan_type IN ('base_uae_14_day_trial', 'low_uae_no_trial', 'high_uae_14_day_trial')) s ON c.subid = s.subid "
+    "JOIN (SELECT DISTINCT subid FROM engagement) e ON c.subid = e.subid "
+    "LEFT JOIN trial t ON c.subid = t.subid GROUP BY c.payment_period",
+)
+def churn_by_period(t: Inputs) -> DataFrame:
+    """Churn of all payment periods; one store serves the join and the count by subscriber."""
+    table = churn.subscriber_store(t.subscribers, t.customer_service, t.engagement).features(period=None)
+    by_subscriber = table.groupBy("payment_period", "subid").agg(
+        F.count("*").alias("n"), F.sum("churn").alias("churned"), F.sum("app_opens_trial").alias("app_opens_trial")
+    )
+    return by_subscriber.groupBy("payment_period").agg(
+        F.sum("n").alias("rows"),
+        F.sum("churned").alias("churned"),
+        F.count("*").alias("subscribers"),
+        F.sum("app_opens_trial").alias("app_opens_trial"),
+    )
+
+
 @query(
     "fill_constant",
     "SELECT subid, coalesce(op_sys, 'iOS') AS op_sys, coalesce(package_type, 'no_package') AS package_type, "

@@ -19,6 +19,7 @@ from subtide.sources.tables import (
     scratch_path,
     shared_folder,
     split_spend_csv,
+    store_by_key,
     write_csv,
 )
 
@@ -39,5 +40,6 @@ __all__ = [
     "scratch_path",
     "shared_folder",
     "split_spend_csv",
+    "store_by_key",
     "write_csv",
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -117,6 +118,29 @@ def materialize(
     return checkpoint_table(df, scratch_path(df.sparkSession, name), partition_by, read_as)
 
 
+def store_by_key(df: DataFrame, name: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """:func:`materialize` in buckets by ``keys``, each sorted by them.
+
+    Tables stored in equally many buckets join on the keys, and are grouped by them,
+    without a shuffle, however often that is done. Left out, ``buckets`` is the number
+    of shuffle partitions. All rows of a key lie in one bucket, so a key with a large
+    share of the rows has to be kept elsewhere.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = _table_name(path)
+    # One task and one file for each bucket; no shuffle where the rows lie like that already.
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def _table_name(path: str) -> str:
+    """The catalog's name of a bucketed table, by the path that it is stored under."""
+    return "subtide_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, registered for deletion before anything is written."""
     path = f"{shared_folder(spark)}/subtide/{name}-{uuid.uuid4().hex}"
@@ -166,3 +190,4 @@ def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
