@@ -2,9 +2,10 @@
 
 A source's target is its share, by weight, of all words; where that is above
 ``limit`` times its own size, it stops there and the excess goes to the others by
-weight. Documents are dealt to shards of about ``docs_per_shard`` by a hash of the
-id, and the words of a source in a shard, in seeded order, are cut into blocks of
-equal size (about ``block`` words). The whole mix is apportioned in blocks: seats go
+weight. Documents are dealt to shards of about ``docs_per_shard`` by a hash of the id
+and the text, and the words of a source in a shard, in seeded order, are cut into
+blocks of equal size (about ``block`` words). A shard is ordered in ``SLICES`` slices
+by tasks of their own, each from where the slices before it end. The whole mix is apportioned in blocks: seats go
 to the sources by highest quotients (target / 1, 3, 5, ...), then each source's
 seats go to its shards the same way. A shard with n blocks and q seats takes each
 block q div n times and q mod n of them once more; these are chosen by a seeded
@@ -16,7 +17,9 @@ for each source. Shards are handled by Spark.
 Edge cases: a null source is a source of its own, last in order. A text without
 words has size 0 and is not taken. A source of size 0 has target 0. Repeated rows
 are separate documents of equal hash; they stand next to each other in the order.
-An empty table gives an empty result. Extra columns are carried in ``row``.
+Where only counts are asked for they are folded first and dealt out again at the end;
+where texts are, those that are wholly equal lie in one slice. An empty table gives an
+empty result. Extra columns are carried in ``row``.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subtide.llm.common import ragged_arange, sliced, word_count
@@ -38,6 +41,8 @@ from subtide.sources import materialize
 LIMIT = 3
 BLOCK = 64
 DOCS_PER_SHARD = 20_000
+SLICES = 64  # of a shard
+COPIES = 10_000  # equal rows that a task writes in one go
 SEED = 17
 SLICE = 500  # documents cut at a time
 CYCLE = (5, 2, 1)
@@ -103,18 +108,23 @@ def by_rank(sources: list[str | None]) -> list[float]:
     return found
 
 
-def sized(docs: DataFrame, size: Column | None = None, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``key``, ``shard`` and ``place`` (order in a shard), with the ``row``."""
-    shards = math.ceil(max(1, docs.count()) / docs_per_shard)
-    hashed = F.xxhash64(F.col("doc_id"), F.lit(SEED))
-    return docs.select(
-        F.struct("*").alias("row"),
-        "doc_id",
-        "source",
-        (word_count() if size is None else size).alias("size"),
+def _measured(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``source``, ``size`` and ``tie`` (a hash of the text), with the ``row``."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("tie"))
+
+
+def _dealt(measured: DataFrame, n_docs: int, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+    """Adds ``key``, ``shard``, ``slice`` and ``place`` (order in a slice); ``times`` is how often a row counts."""
+    shards = math.ceil(max(1, n_docs) / docs_per_shard)
+    hashed = F.xxhash64(F.col("doc_id"), F.col("tie"), F.lit(SEED))
+    place = F.xxhash64(hashed)
+    return measured.select(
+        "*",
+        *([] if "times" in measured.columns else [F.lit(1).cast("long").alias("times")]),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"),
         F.pmod(hashed, F.lit(shards)).alias("shard"),
-        F.xxhash64(hashed).alias("place"),
+        F.pmod(place, F.lit(SLICES)).alias("slice"),
+        place.alias("place"),
     )
 
 
@@ -145,10 +155,13 @@ def plan(
     limit: int = LIMIT,
     seed: int = SEED,
 ) -> DataFrame:
-    """For the rows of :func:`sized`: where each document lies in its shard, and the shard's seats."""
-    shards = docs.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
+    """For the rows of :func:`_dealt`: where each document lies in its shard, and the shard's seats."""
+    words = F.col("size") * F.col("times")
+    ends = docs.groupBy("key", "shard", "slice").agg(F.sum(words).alias("slice_words"), F.first("source").alias("source"))
+    slices = materialize(ends, "mix-slices")
+    shards = slices.groupBy("key", "shard").agg(F.sum("slice_words").alias("words"), F.first("source").alias("source"))
     even = F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long")
-    shards = materialize(shards.withColumn("blocks", F.when(F.col("words") > 0, even).otherwise(0)), "mix-shards")
+    shards = shards.withColumn("blocks", F.when(F.col("words") > 0, even).otherwise(0))
     sources = shards.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("words"), F.sum("blocks").alias("blocks")).collect()
     sources = sorted(sources, key=lambda r: (r.source is None, r.source or ""))
     found = targets([r.words for r in sources], weights([r.source for r in sources]), limit)
@@ -160,9 +173,12 @@ def plan(
         _seats_by_shard(seed, limit),
         "key string, shard long, words long, blocks long, source_size long, target double, seats long, step long, start long",
     )
-    order = Window.partitionBy("key", "shard").orderBy("place", "doc_id", "size")
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    return docs.withColumn("before", before).join(materialize(dealt, "mix-seats"), ["key", "shard"])
+    lower = Window.partitionBy("key", "shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    begins = slices.select("key", "shard", "slice", F.coalesce(F.sum("slice_words").over(lower), F.lit(0)).alias("begin"))
+    order = Window.partitionBy("key", "shard", "slice").orderBy("place", "doc_id", "size", "tie")
+    within = F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - words
+    found = docs.withColumn("within", within).join(materialize(begins.join(dealt, ["key", "shard"]), "mix-seats"), ["key", "shard", "slice"])
+    return found.withColumn("before", F.col("begin") + F.col("within"))
 
 
 def _pieces(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -216,7 +232,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, if there is one, is counted anew.
     """
-    planned = plan(sized(docs)).select("row", "size", "before", "words", "blocks", "seats", "step", "start")
+    planned = plan(_dealt(_measured(docs), docs.count())).select("row", "size", "before", "words", "blocks", "seats", "step", "start")
     types = planned.select("row.*").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +252,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     return planned.mapInArrow(cut, types)
 
 
-def mix_counts(docs: DataFrame) -> DataFrame:
-    """:func:`taken` of all documents; the sizes are stored once."""
-    given = sized(docs.select("doc_id", "text", "source")).drop("row")
-    return taken(plan(materialize(given, "mix-sizes")))
+def _each(planned: DataFrame, copies: int = COPIES) -> DataFrame:
+    """A row for each of the equal rows that were folded, at most ``copies`` of them to a task at a time."""
+    begin, step = F.col("from_copy"), F.lit(copies).cast("long")
+    chunks = planned.withColumn("from_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, step)))
+    chunks = chunks.repartition("doc_id", "tie", "from_copy")
+    each = chunks.withColumn("copy", F.explode(F.sequence(begin, F.least("times", begin + step) - 1)))
+    return each.withColumn("before", F.col("before") + F.col("copy") * F.col("size"))
+
+
+def mix_counts(docs: DataFrame, docs_per_shard: int = DOCS_PER_SHARD, copies: int = COPIES) -> DataFrame:
+    """:func:`taken` of all documents; equal rows are folded, and the sizes stored once."""
+    folded = _measured(docs.select("doc_id", "text", "source")).groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("times"))
+    planned = plan(_dealt(materialize(folded, "mix-sizes"), docs.count(), docs_per_shard))
+    return taken(_each(planned, copies))

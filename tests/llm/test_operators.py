@@ -51,6 +51,21 @@ def test_mixed_texts_have_the_taken_words(given):
     assert words == Counter({k: v for k, v in counts.items() if v})
 
 
+def test_mix_of_a_hot_row(spark, given):
+    """A third of all rows are one row; small shards and few copies at a time change no sum."""
+    hot = spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two three four five' AS text", "'hot' AS source")
+    docs = given.select("doc_id", "text", "source").unionByName(hot)
+    found = mixing.mix_counts(docs, docs_per_shard=100, copies=7)
+    assert found.count() == docs.count()
+    assert found.toPandas().sort_values(["doc_id", "taken"]).reset_index(drop=True).equals(
+        mixing.mix_counts(docs.repartition(5), docs_per_shard=100, copies=10_000).toPandas().sort_values(["doc_id", "taken"]).reset_index(drop=True)
+    )
+    rows = found.filter("doc_id IS NULL").collect()
+    assert {r["size"] for r in rows} == {5} and {r.source_size for r in rows} == {2000}
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 3 * mixing.BLOCK
+    assert max(r.taken for r in rows) <= 15
+
+
 def test_mix_of_odd_rows(odd_documents, no_documents):
     rows = mixing.mix_counts(odd_documents).collect()
     assert len(rows) == odd_documents.count()
