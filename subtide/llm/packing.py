@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import math
 import os
 import re
 import zlib
@@ -41,7 +42,6 @@ from subtide.sources import materialize
 
 CAPACITY = 2048
 END = 1
-SLICES = 64
 SLICE = 500  # documents encoded at a time
 VOCABULARY = "byte_bpe_50k"
 LONG_RUN = 100_000
@@ -168,12 +168,13 @@ def _place(slots, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, n
     return sequence, offset
 
 
-def _ranked(stored: DataFrame) -> DataFrame:
-    """Numbers the pieces of each length from 0; a length's pieces are numbered in ``SLICES`` tasks."""
-    hashed = stored.withColumn("slice", F.pmod(F.xxhash64("n", "start"), F.lit(SLICES)))
-    counts = hashed.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("count"))
+def _ranked(stored: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Numbers the pieces of each length from 0; a length's pieces are numbered in as many slices as a slice has pieces."""
+    slices = F.array(*[F.lit(math.isqrt(counts.get(length, 0)) + 1) for length in range(max(counts, default=0) + 1)])
+    hashed = stored.withColumn("slice", F.pmod(F.xxhash64("n", "start"), F.get(slices, F.col("length").cast("int"))))
+    found = hashed.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("count"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    base = found.select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "slice").orderBy("n", "start")
     ranked = hashed.withColumn("at", (F.row_number().over(order) - 1).cast("long")).join(base, ["length", "slice"])
     return ranked.withColumn("rank", F.col("base") + F.col("at")).drop("slice", "at", "base")
@@ -182,8 +183,8 @@ def _ranked(stored: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row for each piece: its document, place in it, length, digest and place in a sequence."""
     stored = materialize(pieces(docs, capacity, with_ids), "packing")
-    counts = stored.groupBy("length").agg(F.count(F.lit(1)).alias("count")).collect()
-    slots = _slots(pack_histogram({r["length"]: r["count"] for r in counts}, capacity))
+    counts = {r["length"]: r["count"] for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("count")).collect()}
+    slots = _slots(pack_histogram(counts, capacity))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +194,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> D
 
     kept = [c for c in stored.columns if c != "n"]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return _ranked(stored).select(*kept, "rank").mapInArrow(place, schema + ", sequence_id long, offset long")
+    return _ranked(stored, counts).select(*kept, "rank").mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad: int = END) -> DataFrame:
