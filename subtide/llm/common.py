@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +46,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column
     return salted.join(repeated, [*on, "salt"]).drop("salt")
 
 
+def many_salts(spark: SparkSession) -> int:
+    """Salts for keys that may hold a large part of all rows: the root of the shuffle partitions, 8 at least."""
+    return max(8, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def ragged_arange(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for each length n, one after the other."""
     ends = np.cumsum(lengths)

@@ -20,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subtide.llm.common import salted_join
+from subtide.llm.common import many_salts, salted_join
 from subtide.sources import materialize
 
 LIMIT = 32 << 20
 STEP = 8
 BITS = 60
+PAGED_LIMITS, PAGED_DOCS = 16, 100_000  # what a task pages in one go: so many limits of bytes, or documents
 
 
 def hash_bits(col: str) -> Column:
@@ -36,7 +37,7 @@ def hash_bits(col: str) -> Column:
 
 
 def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``prefix``, ``depth``, ``bytes`` and ``docs`` of each bucket; ``sizes`` has ``bits`` and ``n_bytes``."""
+    """``prefix``, ``depth``, ``bytes`` and ``docs`` of each bucket; ``sizes`` has ``bits``, ``n_bytes`` and a row number ``n``."""
     done = None
     level = 0
     rest = sizes.select("bits", "n_bytes").withColumn("prefix", F.lit(""))
@@ -56,7 +57,7 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
         large = with_parent.filter(~_fits(limit) & (F.col("depth") == level)).select(F.col("node").alias("prefix"))
         if level >= BITS or large.isEmpty():
             return done
-        rest = salted_join(sizes.select("bits", "n_bytes").withColumn("prefix", F.substring("bits", 1, level)), large, ["prefix"], F.col("bits"))
+        rest = salted_join(sizes.select("bits", "n_bytes", "n").withColumn("prefix", F.substring("bits", 1, level)), large, ["prefix"], F.col("n"), many_salts(sizes.sparkSession))
 
 
 def _fits(limit: int) -> Column:
@@ -69,8 +70,8 @@ def _with_bucket(sizes: DataFrame, buckets: DataFrame) -> DataFrame:
     depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())
     named = sizes.select("*", F.explode(F.array(*[F.lit(d) for d in depths])).alias("at") if depths else F.lit(0).alias("at"))
     named = named.withColumn("prefix", F.expr("substring(bits, 1, at)"))
-    of = buckets.select("prefix", F.col("depth").alias("at"), F.col("bytes").alias("bucket_bytes"))
-    return salted_join(named, of, ["prefix", "at"], F.col("bits")).withColumnRenamed("at", "depth")
+    of = buckets.select("prefix", F.col("depth").alias("at"), F.col("bytes").alias("bucket_bytes"), F.col("docs").alias("bucket_docs"))
+    return salted_join(named, of, ["prefix", "at"], F.col("n"), many_salts(sizes.sparkSession)).withColumnRenamed("at", "depth")
 
 
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -90,13 +91,15 @@ def _assigned(numbered: DataFrame, limit: int) -> DataFrame:
 def _pages(over: DataFrame, limit: int) -> DataFrame:
     """Overflow pages of buckets of one hash.
 
-    The documents are dealt to slices by their stored number; each slice fills pages of
-    its own, so no task has all of a bucket. A page takes documents whose running
+    The documents are dealt to slices by their stored number, as many as the bucket's
+    bytes and documents ask; each slice fills pages of its own, so no task has all of a
+    bucket. A page takes documents whose running
     sum begins in the same half of the limit and ends within it; one above half the
     limit has a page of its own.
     """
     half = limit // 2
-    sliced = over.withColumn("slice", F.pmod(F.xxhash64("n"), F.lit(64)))
+    slices = F.ceil(F.greatest(F.col("bucket_bytes") / (PAGED_LIMITS * limit), F.col("bucket_docs") / PAGED_DOCS))
+    sliced = over.withColumn("slice", F.pmod(F.xxhash64("n"), slices))
     sliced = sliced.withColumn("big", F.col("n_bytes") > half)
     order = Window.partitionBy("prefix", "slice", "big").orderBy("tie", "n")
     run = F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_bytes")
@@ -109,7 +112,7 @@ def _sized_shards(placed: DataFrame, limit: int) -> DataFrame:
     kept = placed.select("n", "doc_id", "n_bytes", "prefix", "depth", "page")
     kept = materialize(kept, "shard-places")
     total = kept.groupBy("prefix", "page").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
-    named = salted_join(kept, total, ["prefix", "page"], F.coalesce("doc_id", F.lit(0)))
+    named = salted_join(kept, total, ["prefix", "page"], F.col("n"), many_salts(placed.sparkSession))
     return named.withColumn("oversize", F.col("n_bytes") > limit)
 
 

@@ -433,6 +433,14 @@ def test_one_hash_gets_overflow_pages(spark, no_documents):
     assert sharding.assign(no_documents).count() == 0
 
 
+def test_pages_are_well_filled(spark):
+    """One id with 100 limits of bytes takes few more pages than that asks for."""
+    docs = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "repeat('x', 50) AS text")
+    found = sharding.assign(docs, limit=1000).collect()
+    assert len(found) == 2000 and all(r.shard_bytes <= 1000 for r in found)
+    assert 100 <= len({(r.prefix, r.page) for r in found}) <= 220
+
+
 def test_shards_are_written(given, tmp_path):
     sharding.write_shards(given, str(tmp_path / "shards"), 50_000)
     assert given.sparkSession.read.parquet(str(tmp_path / "shards")).count() == given.count()
