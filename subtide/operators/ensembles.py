@@ -151,3 +151,26 @@ def labels_by_depth(trees: Sequence[Tree], features: Sequence[str], depths: Sequ
         d: F.when(_total([F.expr(f"get({s}, {p})") for s, p in zip(shares[d], places)]) > len(trees) * 0.5, 1).otherwise(0)
         for d in depths
     }
+
+
+def labels_of_leaves(trees: Sequence[Tree], leaf: str, depths: Sequence[int]) -> dict[int, Column]:
+    """:func:`labels_by_depth` for rows whose leaves are known, as a fitted model's ``leafCol`` gives them.
+
+    ``leaf`` is a SQL expression of an array with each tree's leaf, numbered from left
+    to right. A tree's shares at a depth are one constant, so the expression has a
+    term for each tree and none for its nodes.
+    """
+    shares: dict[int, list[Column]] = {d: [] for d in depths}
+    for t, tree in enumerate(trees):
+        leaves = _leaves(tree)
+        for d in depths:
+            of = leaves_at(tree, d)
+            known = ",".join(repr(_share(tree[of[i]])) for i in leaves)
+            shares[d].append(F.expr(f"get(cast(split('{known}', ',') AS array<double>), CAST({leaf}[{t}] AS INT))"))
+    return {d: F.when(_total(shares[d]) > len(trees) * 0.5, 1).otherwise(0) for d in depths}
+
+
+def _leaves(tree: Tree, at: int = 0) -> list[int]:
+    """The leaves of a tree from left to right."""
+    node = tree[at]
+    return [at] if node.feature is None else _leaves(tree, node.left) + _leaves(tree, node.right)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextvars import copy_context
 from dataclasses import dataclass
+from functools import partial
 from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 from subtide.functions import u01
 from subtide.operators.clv import COST_COLUMNS
 from subtide.operators.encode import dummy_encode, feature_columns, with_split
-from subtide.operators.ensembles import labels_by_depth, node_tables
+from subtide.operators.ensembles import labels_of_leaves, node_tables
 from subtide.operators.metrics import CELLS, confusion_matrix, r2
 from subtide.sources import materialize
 
+Job, Result = TypeVar("Job"), TypeVar("Result")
 FOLD_KEYS = 100_000
 _IO = {"featuresCol": "features", "labelCol": "churn"}
+# Kinds of fits by the time they take.
+_LONGEST_FIRST = ("gbt", "forest", "logistic", "tree", "ols")
 # Tells the fits that the label has two classes, which they would otherwise find
 # out by one more pass over the training rows.
 _TWO_CLASSES = {"ml_attr": {"name": "churn", "type": "nominal", "vals": ["0", "1"]}}
@@ -159,6 +165,34 @@ def fit(data: ModelData, kind: str) -> Model:
     return estimator.fit(data.train)
 
 
+def at_once(rows: DataFrame, most: int) -> int:
+    """How many fits to run at a time on stored rows: at least two, at most ``most``.
+
+    A fit has a task for each part of the rows and keeps its rows in memory. Where a
+    fit's parts are few, more fits share the cores; where they fill the cores, a second
+    fit covers the waits of the first, and more would only push rows out of memory.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return min(most, 2 + 4 * cores // max(rows.rdd.getNumPartitions(), 1))
+
+
+def in_threads(rows: DataFrame, run: Callable[[Job], Result], jobs: Sequence[Job], most: int) -> list[Result]:
+    """What ``run`` gives for each job, in the jobs' order, with :func:`at_once` of them at a time.
+
+    Jobs start in their order. What they store belongs to the caller's scope.
+    """
+    calls = [partial(copy_context().run, run, job) for job in jobs]
+    with ThreadPool(min(at_once(rows, most), len(calls))) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(lambda call: call()), calls, chunksize=1)
+
+
+def for_each_fit(data: ModelData, kinds: Sequence[str], use: Callable[[str, Model], Result]) -> list[Result]:
+    """``use`` of each kind's name and fit, in the order of ``kinds``; several run at a time, the longest first."""
+    jobs = sorted(kinds, key=_LONGEST_FIRST.index)
+    found = dict(zip(jobs, in_threads(data.train, lambda kind: use(kind, fit(data, kind)), jobs, len(jobs))))
+    return [found[kind] for kind in kinds]
+
+
 def score(model: Model, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Predicted probability of churn by subscriber: (subid, y_actual, y_pred, y_label).
 
@@ -267,27 +301,26 @@ def grid_search(
 
     Folds are stratified by label and stored. A fold and number of features has one fit,
     of the greatest depth: its nodes keep their label counts, so the smaller depths are
-    cuts of its trees, and one aggregate over the rows left out scores all of them.
-    ``parallelism`` fits run at a time. The best setting is fitted on all training rows.
+    cuts of its trees, and one aggregate over the rows left out, by the leaves that the
+    fit finds for them, scores all. Up to ``parallelism`` fits run at a time, see
+    :func:`at_once`. The best setting is fitted on all training rows.
     """
     width = len(data.features)
     depths, tried = list(depths), [_subset(f, width) for f in features]
     stored = materialize(with_folds(data.train, folds, key), "folds", ["fold"]).withMetadata("churn", _TWO_CLASSES)
-    cells = [f"x[{i}]" for i in range(width)]
 
     def shares_right(job: tuple[str, int]) -> tuple[float, ...] | None:
         subset, fold = job
         deepest = estimator.copy({estimator.maxDepth: max(depths), estimator.featureSubsetStrategy: subset})
-        trees = node_tables(deepest.fit(stored.where(F.col("fold") != fold)))
-        held = stored.where(F.col("fold") == fold).select("churn", vector_to_array("features").alias("x"))
-        labels = labels_by_depth(trees, cells, depths)
-        right = [F.avg((labels[d] == F.col("churn")).cast("double")) for d in depths]
+        model = deepest.fit(stored.where(F.col("fold") != fold)).setLeafCol("leaf")
+        held = model.transform(stored.where(F.col("fold") == fold)).select("churn", vector_to_array("leaf").alias("leaf"))
+        labels = labels_of_leaves(node_tables(model), "leaf", depths)
+        right = [F.avg((labels[d] == F.col("churn")).cast("double")).alias(f"right_{d}") for d in depths]
         found = held.agg(*right).first()
         return None if found[0] is None else tuple(found)
 
     jobs = [(subset, fold) for subset in tried for fold in range(folds)]
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        results = pool.map(inheritable_thread_target(data.train.sparkSession)(shares_right), jobs, chunksize=1)
+    results = in_threads(stored, shares_right, jobs, parallelism)
     scores = {}
     for at, subset in enumerate(tried):
         known = [r for r in results[at * folds : (at + 1) * folds] if r is not None]
