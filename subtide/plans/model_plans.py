@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,11 +103,11 @@ CLASSIFIERS = ("tree", "logistic", "forest", "gbt")
 def _for_each_classifier(t: Inputs, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Results of the four classifiers on the test rows, marked by ``model``."""
     data = models.prepare(features(t))
-    results = []
-    for kind in CLASSIFIERS:
-        predicted = models.score(models.fit(data, kind), data.test)
-        results.append(evaluate(predicted).withColumn("model", F.lit(kind)))
-    return reduce(DataFrame.unionByName, results)
+
+    def evaluated(kind: str, model: Model) -> DataFrame:
+        return evaluate(models.score(model, data.test)).withColumn("model", F.lit(kind))
+
+    return reduce(DataFrame.unionByName, models.for_each_fit(data, CLASSIFIERS, evaluated))
 
 
 @query("model_auc")
