@@ -91,23 +91,29 @@ def compiled_ensembles(t: Inputs) -> DataFrame:
     data = models.prepare(features(t))
     vectors = VectorAssembler(inputCols=data.features, outputCol="features").transform(data.encoded)
 
-    def compared(kind: str) -> DataFrame:
-        model = models.fit(data, kind)
+    kinds = ("tree", "forest", "gbt")
+    both, cells = vectors, []
+    for kind, model in zip(kinds, models.for_each_fit(data, kinds, lambda kind, model: model)):
         probability, label = ensembles.compiled_score(model, ensembles.quoted_names(data.features))
-        both = model.transform(vectors).select(
-            "is_train",
-            "churn",
-            (F.abs(probability - vector_to_array("probability")[1]) < 1e-9).alias("score"),
-            (label == F.col("prediction")).alias("label"),
-        )
-        return both.groupBy(F.expr("if(is_train, 'train', 'test')").alias("split")).agg(
-            F.count("*").alias("rows"),
-            F.sum("churn").cast("long").alias("positives"),
-            F.every("score").alias("is_same_score"),
-            F.every("label").alias("is_same_label"),
-        ).withColumn("model", F.lit(kind))
-
-    return reduce(DataFrame.unionByName, map(compared, ("tree", "forest", "gbt")))
+        names = {c: f"_{c}_{kind}" for c in ("raw", "probability", "prediction")}
+        model.setRawPredictionCol(names["raw"]).setProbabilityCol(names["probability"]).setPredictionCol(names["prediction"])
+        both = model.transform(both)
+        same_score = F.abs(probability - vector_to_array(names["probability"])[1]) < 1e-9
+        cells.append((kind, same_score, label == F.col(names["prediction"])))
+    # One pass over the rows compares all models; its one row a split becomes a row a model.
+    marked = both.select("is_train", "churn", *[c.alias(f"{name}_{kind}") for kind, *pair in cells for name, c in zip(("score", "label"), pair)])
+    counts = marked.groupBy(F.expr("if(is_train, 'train', 'test')").alias("split")).agg(
+        F.count("*").alias("rows"),
+        F.sum("churn").cast("long").alias("positives"),
+        *[F.every(f"{name}_{kind}").alias(f"{name}_{kind}") for kind in kinds for name in ("score", "label")],
+    )
+    by_model = [
+        F.struct(F.lit(kind).alias("model"), F.col(f"score_{kind}").alias("is_same_score"), F.col(f"label_{kind}").alias("is_same_label"))
+        for kind in kinds
+    ]
+    return counts.select("split", "rows", "positives", F.inline(F.array(*by_model))).select(
+        "split", "rows", "positives", "is_same_score", "is_same_label", "model"
+    )
 
 
 @query("tree_importance_names", _named(_FEATURES, "is_share"))
