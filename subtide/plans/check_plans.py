@@ -6,7 +6,6 @@ keys and labels by split, names of features, what an optimum or a leaf must fulf
 
 from __future__ import annotations
 
-
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
